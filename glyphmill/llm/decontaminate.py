@@ -196,6 +196,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, **c
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, min_items: int = 1, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """The documents, all columns, in which windows of fewer than ``min_items`` items occur."""
+    at, schema = docs.columns.index(text_col), docs.schema
+    for machine in _chunks(benchmark, item_col, item_text_col, max_windows):
+        shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            search = shared.value.search
+            for batch in batches:
+                keep = []
+                for text in batch.column(at).cast(pa.binary()).to_pylist():
+                    keep.append(len(set().union(*(x[2] for x in search(text or b"")[1]))) < min_items)
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        docs = docs.mapInArrow(scan, schema)
+    return docs
+
+
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
     from glyphmill.llm._common import read
 

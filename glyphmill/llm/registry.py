@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm.decontaminate import op2_decontaminate
 from glyphmill.llm.near_dedup import op4_minhash
+from glyphmill.llm.pack import op1_pack
+from glyphmill.llm.quality import op10_quality
+from glyphmill.llm.secrets import op7_secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontaminate": op2_decontaminate, "op4_minhash": op4_minhash}
+    return {
+        "op1_pack": op1_pack,
+        "op2_decontaminate": op2_decontaminate,
+        "op4_minhash": op4_minhash,
+        "op7_secrets": op7_secrets,
+        "op10_quality": op10_quality,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
