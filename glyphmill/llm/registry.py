@@ -8,10 +8,12 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm.decontaminate import op2_decontaminate
+from glyphmill.llm.extract import op5_extract
 from glyphmill.llm.near_dedup import op4_minhash
 from glyphmill.llm.pack import op1_pack
 from glyphmill.llm.quality import op10_quality
 from glyphmill.llm.secrets import op7_secrets
+from glyphmill.llm.topk import OP9_SQL, op9_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,11 +21,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_pack": op1_pack,
         "op2_decontaminate": op2_decontaminate,
         "op4_minhash": op4_minhash,
+        "op5_extract": op5_extract,
         "op7_secrets": op7_secrets,
+        "op9_topk": op9_topk,
         "op10_quality": op10_quality,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {"op9_topk": OP9_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
