@@ -8,7 +8,9 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm.decontaminate import op2_decontaminate
+from glyphmill.llm.exact_dedup import op3_exact_dedup
 from glyphmill.llm.extract import op5_extract
+from glyphmill.llm.lm import op8_lm
 from glyphmill.llm.near_dedup import op4_minhash
 from glyphmill.llm.pack import op1_pack
 from glyphmill.llm.quality import op10_quality
@@ -20,9 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pack": op1_pack,
         "op2_decontaminate": op2_decontaminate,
+        "op3_exact_dedup": op3_exact_dedup,
         "op4_minhash": op4_minhash,
         "op5_extract": op5_extract,
         "op7_secrets": op7_secrets,
+        "op8_lm": op8_lm,
         "op9_topk": op9_topk,
         "op10_quality": op10_quality,
         "pipeline": corpus_pipeline.run,
