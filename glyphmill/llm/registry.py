@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from glyphmill.llm.decontaminate import op2_decontaminate
 from glyphmill.llm.exact_dedup import op3_exact_dedup
 from glyphmill.llm.extract import op5_extract
+from glyphmill.llm.langid import op6_langid
 from glyphmill.llm.lm import op8_lm
 from glyphmill.llm.near_dedup import op4_minhash
 from glyphmill.llm.pack import op1_pack
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_minhash": op4_minhash,
         "op5_extract": op5_extract,
+        "op6_langid": op6_langid,
         "op7_secrets": op7_secrets,
         "op8_lm": op8_lm,
         "op9_topk": op9_topk,
