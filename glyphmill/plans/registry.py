@@ -1,34 +1,23 @@
-"""The queries of this engine by name, each with its SQL where SQL can express it."""
+"""Queries by name, their SQL, and the flagship query."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def byte_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text")
-    return (
-        docs.select(F.explode(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit("(..)"), F.lit(1))).alias("byte"))
-        .groupBy("byte")
-        .agg(F.count("*").alias("cnt"))
-    )
+from glyphmill.operators.stats import report
+from glyphmill.plans.oracle import SQL
+from glyphmill.plans.queries import QUERIES, token_counts
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_histogram(spark, sf_dir)
+    return report(token_counts(spark, sf_dir), 20)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"byte_histogram": byte_histogram}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "byte_histogram": """
-            SELECT byte, count(*) AS cnt
-            FROM (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS byte FROM documents)
-            GROUP BY byte"""
-    }
+    return dict(SQL)
