@@ -101,12 +101,12 @@ class _Segmenter(StatefulProcessor):
                 ended = True
                 break
         tokens = [self.machine.string(i) for i in self.machine.expand(out)]
-        frame = pd.DataFrame({"key": [key[0]] * len(tokens), "pos": range(pos, pos + len(tokens)), "token": tokens})
+        columns = {"key": pd.Series([key[0]] * len(tokens), dtype=object), "pos": pd.Series(range(pos, pos + len(tokens)), dtype="int64"), "token": pd.Series(tokens, dtype=object)}
         if ended:
             self.saved.clear()
         else:
             self.saved.update((pickle.dumps((work.state, work.base, work.cost, work.back)), pos + len(tokens)))
-        yield frame
+        yield pd.DataFrame(columns)
 
     def close(self) -> None:
         pass
