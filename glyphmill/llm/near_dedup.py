@@ -8,8 +8,8 @@
    order of rarity: pairs that one class alone has are skipped, and very frequent values (a passage that
    many documents share) fall behind the prefix.
 3. A posting list is merged against its leader, the member whose values are the most frequent, instead of
-   member with member. Links found so give components; only lists that still span several components
-   pair their members, across components only.
+   member with member. Links found so give components. Members of lists that still span several components
+   go through an exact prefix filter on their full sets, which yields pairs across components only.
 4. Candidates are confirmed on the full shingle sets, then components give the result.
 
 For a similarity of 0.8 the chance that a pair agrees on fewer than 36 of 64 coordinates is about 1e-6.
@@ -154,25 +154,67 @@ def _agree(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, work: Workspace) -> DataFrame:
-    """Of the candidate pairs (cut), those whose full sets have the similarity."""
-    ids = work.cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    sets = work.cut(sets_of(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), size))
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those whose full sets (doc_id, s) have the similarity."""
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("s").alias(f"s{x}"))
     both = F.size(F.array_intersect("sa", "sb"))
-    links = (
+    return (
         pairs.join(side("a"), "a")
         .join(side("b"), "b")
         .where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent)
         .select("a", "b")
         .distinct()
     )
-    links = work.cut(links)
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, work: Workspace) -> DataFrame:
+    """Of the candidate pairs (cut), those whose full sets have the similarity."""
+    ids = work.cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    few = ids.count() <= BROADCAST_IDS
+    sets = work.cut(sets_of(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), size))
+    links = work.cut(_similar(pairs, sets, percent))
     work.drop(ids, sets)
     return links
 
 
+def _across(lists: DataFrame, docs: DataFrame, tested: DataFrame, size: int, percent: int, work: Workspace) -> DataFrame:
+    """Links between members of different components (token, rep, c) that share a list, but for tested pairs.
+
+    Among these documents an exact prefix filter on the full sets stands in for member-with-member merging:
+    with shingles in order of rarity, a pair of the similarity shares one within the first n - ceil(n * percent) + 1
+    of each, at places that leave room for the overlap that their sizes require. Shingles of one document
+    alone come first, so copies with edits of their own seldom meet under a shingle that all copies have.
+    """
+    members = work.cut(lists.select(F.col("rep").alias("doc_id"), "c").distinct())
+    few = members.count() <= BROADCAST_IDS
+    ids = members.select("doc_id")
+    sets = work.cut(sets_of(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), size).join(members, "doc_id"))
+    rows = sets.select("doc_id", F.size("s").alias("n"), "c", F.explode("s").alias("h"))
+    shared = rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    own = F.col("n") - F.size("t")  # shingles of this document alone, at the front
+    posts = work.cut(
+        rows.join(shared, "h")
+        .groupBy("doc_id", "n", "c")
+        .agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("t"))
+        .withColumn("own", own)
+        .withColumn("room", F.expr(f"n - cast(ceil(n * {percent} / 100) as int) + 1") - F.col("own"))
+        .where("room > 0")
+        .select("doc_id", "n", "c", "own", F.posexplode(F.slice("t", F.lit(1), F.col("room"))).alias("k", "t"))
+        .select("doc_id", "n", "c", (F.col("own") + F.col("k")).alias("i"), F.col("t.h").alias("h"))
+    )
+    x, y = posts.alias("x"), posts.alias("y")
+    room = f"(1 + least(x.n - x.i - 1, y.n - y.i - 1)) * {100 + percent} >= {percent} * (x.n + y.n)"
+    pairs = (
+        x.join(y, F.expr(f"x.h = y.h and x.doc_id > y.doc_id and x.c != y.c and {room}"))
+        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+        .distinct()
+        .join(tested, ["a", "b"], "left_anti")
+    )
+    links = work.cut(_similar(pairs, sets, percent))
+    work.drop(members, sets, posts)
+    return links
+
+
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -201,18 +243,9 @@ def near_groups(
 
     # lists that still span components: pairs across components
     at = posts.join(found, F.col("rep") == F.col("node"), "left").select("token", "rep", F.coalesce("component", "rep").alias("c"))
-    at = at.join(reps.select("rep", "n").groupBy("rep").agg(F.max("n").alias("n")), "rep")
     split = at.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
     open_lists = work.cut(at.join(split, "token", "left_semi"))
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    across = (
-        x.join(y, F.expr(f"x.token = y.token and x.rep > y.rep and x.c != y.c and least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent}"))
-        .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        .distinct()
-        .join(tested, ["a", "b"], "left_anti")
-    )
-    more = work.cut(_agree(across, reps, percent))
-    rest = _confirm(more, docs, shingle, percent, work)
+    rest = _across(open_lists, docs, tested, shingle, percent, work)
     links = links.union(rest).select(F.col("a").alias("u"), F.col("b").alias("v"))
     groups = components(links, work)
     classes = classes.join(groups, F.col("class_id") == F.col("node"), "left").select(
@@ -231,7 +264,10 @@ def op4_minhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, all columns, without all but one of each group of near copies."""
+    """The documents, all columns, without all but one of each group of near copies.
+
+    Rows without an id cannot be named as copies and stay; of rows equal in id and text one stays.
+    """
     kept = near_groups(docs, id_col, text_col, shingle, percent).where("kept").select("doc_id").distinct()
     first = W.partitionBy(id_col, F.xxhash64(text_col)).orderBy(*[F.col(id_col)])
     here = docs.join(kept.withColumnRenamed("doc_id", "_gm_kept"), F.col(id_col).eqNullSafe(F.col("_gm_kept")), "left_semi")
