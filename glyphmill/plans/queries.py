@@ -21,7 +21,8 @@ TOP, LONGEST, TRAINED, BUILT = 40, 4, 22, 28
 
 
 def _docs(spark: SparkSession, d: str, table: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{d}/{table}.parquet")
+    found = spark.read.parquet(f"{d}/{table}.parquet")
+    return sources.spread(found) if table == "documents" else found
 
 
 def _hex(tokens) -> F.Column:

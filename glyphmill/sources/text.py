@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from glyphmill.functions.filters import compose, filter_lines
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """The table over all cores, if it is so small that its files give fewer pieces; else as it is, unshuffled."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() * 2 <= cores else table
+
+
 def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, text: a row for each file, whole; .gz is unpacked. For files that fit a task."""
     return spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
