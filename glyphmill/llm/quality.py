@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from glyphmill.llm._common import slot
 
 SAMPLE = 4000  # labelled documents that training may use
-BUCKETS, DIM, EPOCHS, RATE = 1 << 17, 8, 6, 0.4
+BUCKETS, DIM, STEPS, RATE = 1 << 17, 8, 8_000, 0.4  # STEPS: documents seen in training, at any size
 REPEAT = crc32(b"\x00repeat") % BUCKETS
 
 
@@ -98,11 +98,11 @@ def train(rows: list[tuple[bytes, int]], seed: int = 7) -> Model:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     share = np.bincount([y for _, y in rows], minlength=2) / len(rows)
     bias[:] = np.log(np.maximum(share, 1e-3))
-    order, steps, done = list(range(len(data))), EPOCHS * len(data), 0
+    order, steps, done = list(range(len(data))), max(STEPS, 2 * len(data)), 0
     shuffle = random.Random(seed).shuffle
-    for _ in range(EPOCHS):
+    while done < steps:
         shuffle(order)
-        for i in order:
+        for i in order[: steps - done]:
             f, c, y = data[i]
             rate = RATE * (1 - done / steps)
             done += 1
