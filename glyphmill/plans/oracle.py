@@ -135,6 +135,40 @@ k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM f WHERE
 SELECT d.doc_id, coalesce(k.text, '') AS text FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
+
+
+def _clean(source: str) -> str:
+    trimmed = r"regexp_replace(regexp_replace({}, '^\s+', ''), '\s+$', '')"
+    rows = "PARTITION BY doc_id ORDER BY pos"
+    verse = r"""len(list_filter(list_zip(bare[:-2], bare[2:]), lambda z: NOT regexp_matches(z[1], '[.!?]$') AND regexp_matches(z[2], '^\p{Lu}'))) > 0
+        AND len(list_filter(bare, lambda x: NOT regexp_matches(x, '^\p{Lu}') AND regexp_matches(x, '^\p{L}'))) = 0"""
+    return rf"""
+    WITH t AS (SELECT doc_id, text FROM {source}),
+    l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM t)),
+    m AS (SELECT *, regexp_full_match(line, '\s*') AS blank, max(pos) OVER (PARTITION BY doc_id) AS last_pos FROM l),
+    r AS (SELECT *, sum(blank::INT) OVER ({rows} ROWS UNBOUNDED PRECEDING) AS run FROM m),
+    g AS (
+      SELECT doc_id, blank, min(pos) AS pos, max(pos) = max(last_pos) AS final, list(line ORDER BY pos) AS lines,
+        list({trimmed.format("line")} ORDER BY pos) AS bare
+      FROM r GROUP BY doc_id, blank, CASE WHEN blank THEN -pos ELSE run END),
+    p AS (
+      SELECT doc_id, blank, pos, final, CASE WHEN blank THEN [''] WHEN {verse} THEN lines
+        ELSE [array_to_string(list_prepend(regexp_replace(lines[1], '\s+$', ''), bare[2:]), ' ')] END AS lines
+      FROM g),
+    k AS (SELECT *, min(CASE WHEN NOT blank AND (final OR NOT {_markers("lines[1]", clean.SKIPPED)}) THEN pos END) OVER (PARTITION BY doc_id) AS start FROM p),
+    o AS (
+      SELECT doc_id, string_agg(CASE WHEN pos = start AND NOT final THEN chr(10) || chr(10) ELSE '' END || array_to_string(lines, chr(10)), chr(10) ORDER BY pos) AS text
+      FROM k WHERE pos >= start GROUP BY doc_id)
+    SELECT t.doc_id, coalesce(o.text, '') AS text FROM t LEFT JOIN o ON t.doc_id = o.doc_id"""
+
+
+SAMPLED = """
+WITH a AS (SELECT doc_id, text, length(text) AS n, (doc_id * 2654435761) % greatest(length(text) - 256, 1) AS cut FROM documents),
+b AS (SELECT *, substr(text, cut - length(string_split(substr(text, 1, cut), chr(10))[-1]) + 1) AS rest FROM a),
+c AS (SELECT *, instr(substr(rest, 256), chr(10)) AS after FROM b)
+SELECT doc_id, CASE WHEN n <= 256 THEN text WHEN after > 0 THEN substr(rest, 1, 255 + after) ELSE rest END AS piece FROM c
+"""
+
 _BASE = "(VALUES " + ", ".join(f"({i}, '{s.hex().upper()}')" for i, s in enumerate(HEX_BASE)) + ") AS b(id, token)"
 
 SQL = {
@@ -178,6 +212,9 @@ SQL = {
         SELECT CAST(id AS INTEGER) AS token_id, token, true AS mandatory FROM {_BASE}
         UNION ALL SELECT CAST({len(HEX_BASE) - 1} + k AS INTEGER), byte, false FROM r WHERE k <= {Q.BUILT - len(HEX_BASE)}""",
     "strip_headers": STRIP,
+    "clean_text": _clean("documents"),
+    "sample_pieces": SAMPLED,
+    "prepare": f"SELECT doc_id, {_words('text')} AS text FROM ({_caps('text', '(' + _clean('(' + STRIP + ')') + ')')})",
     "merge_fragments": r"SELECT doc_id, body || chr(10) || chr(57363) AS fragment FROM (SELECT doc_id, regexp_extract(text, '(?s)\A(.*[^\s][^\n]*\n?)', 1) AS body FROM documents) WHERE body <> ''",
     "chunk_sample": "SELECT doc_id, text FROM documents WHERE doc_id % 4 = 0",
     "text_directories": """
