@@ -266,9 +266,19 @@ def op4_minhash(spark, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns, without all but one of each group of near copies.
 
-    Rows without an id cannot be named as copies and stay; of rows equal in id and text one stays.
+    Rows without an id cannot be named as copies and stay; of rows equal in id and text one stays. Texts are
+    shuffled only where an id is repeated, or where the ids to drop are too many to broadcast.
     """
-    kept = near_groups(docs, id_col, text_col, shingle, percent).where("kept").select("doc_id").distinct()
-    first = W.partitionBy(id_col, F.xxhash64(text_col)).orderBy(*[F.col(id_col)])
-    here = docs.join(kept.withColumnRenamed("doc_id", "_gm_kept"), F.col(id_col).eqNullSafe(F.col("_gm_kept")), "left_semi")
-    return here.withColumn("_gm_row", F.row_number().over(first)).where("_gm_row = 1").drop("_gm_row")
+    work = Workspace(docs.sparkSession)
+    found = near_groups(docs, id_col, text_col, shingle, percent).where("doc_id is not null")
+    ids = found.groupBy(F.col("doc_id").alias("_gm_id")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    odd = work.cut(ids.where("not kept or n > 1"))
+    few = odd.count() <= BROADCAST_IDS
+    side = lambda rows: F.broadcast(rows.select("_gm_id")) if few else rows.select("_gm_id")
+    same = F.col(id_col) == F.col("_gm_id")
+    again = odd.where("kept and n > 1")
+    if again.isEmpty():
+        return docs.join(side(odd), same, "left_anti")
+    first = W.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.col(id_col))
+    repeated = docs.join(side(again), same, "left_semi").withColumn("_gm_row", F.row_number().over(first)).where("_gm_row = 1").drop("_gm_row")
+    return docs.join(side(odd), same, "left_anti").unionByName(repeated)
