@@ -11,8 +11,14 @@ from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table of the corpus, read by Spark alone, so any store that Spark knows will do."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table of the corpus, read by Spark alone, so any store that Spark knows will do.
+
+    A corpus of so few files that cores would idle is spread over them; a larger one is not shuffled.
+    """
+    found, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    if table in ("documents", "pages") and found.rdd.getNumPartitions() * 2 <= cores:
+        return found.repartition(cores)
+    return found
 
 
 def shared_dir(spark: SparkSession) -> str:
