@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm._common import slot
 
-SAMPLE = 4000  # labelled documents that training may use
+SAMPLE = 2000  # labelled documents that training may use, held by the driver
 BUCKETS, DIM, STEPS, RATE = 1 << 17, 8, 8_000, 0.4  # STEPS: documents seen in training, at any size
 REPEAT = crc32(b"\x00repeat") % BUCKETS
 
@@ -49,12 +49,14 @@ def _document(text: bytes, cache: dict) -> tuple[np.ndarray, np.ndarray]:
     words, total = _words(text), Counter()
     for w, c in Counter(words).items():
         if (f := cache.get(w)) is None:
+            if len(cache) > 20_000:
+                cache.clear()
             f = cache[w] = word_features(w)
         for x in f:
             total[x] += c
     if repeats := sum(a == b for a, b in zip(words, words[1:])):
         total[REPEAT] += repeats
-    return np.fromiter(total.keys(), np.int64, len(total)), np.fromiter(total.values(), np.float32, len(total))
+    return np.fromiter(total.keys(), np.int32, len(total)), np.fromiter(total.values(), np.float32, len(total))
 
 
 class Model:
