@@ -329,8 +329,7 @@ def fit(docs: DataFrame, counts: Counts, work: Workspace, rounds: int = ROUNDS)
     net = Network.start(counts.c[: counts.vocab], counts.rest)
     spans = work.cut(_spans(docs, counts))
     shards = max(1, -(-spans.count() // SHARD))
-    dealt = work.cut(spans.repartition(shards, F.xxhash64("span")))
-    work.drop(spans)
+    dealt = spans.repartition(shards)
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(net.vector)
         rate = RATE / (k + 1)
@@ -348,7 +347,7 @@ def fit(docs: DataFrame, counts: Counts, work: Workspace, rounds: int = ROUNDS)
         rows = some.coalesce(1).mapInArrow(_sum, schema).collect()
         if rows:
             net = Network((np.frombuffer(rows[0]["v"], np.float64) / rows[0]["weight"]).astype(np.float32))
-    work.drop(dealt)
+    work.drop(spans)
     return net
 
 
