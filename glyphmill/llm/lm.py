@@ -6,9 +6,9 @@ one class more, within which a word has (count + 1) / (sum of count + 1 over the
 seen). So the model is a proper distribution over every word:
 P(word) = P(class | state) * P(word | class, state), or P(rest | state) * P(word | rest).
 
-Training is truncated backpropagation: every training document gives one span of ``SPAN`` tokens for each
-``SPACING`` of its tokens, cut into windows of ``WINDOW``; the state is carried from window to window.
-Shards of spans are trained side by side and averaged, ``ROUNDS`` times. Scoring runs every document to its
+Training is truncated backpropagation over every token of every training document, in windows of ``WINDOW``;
+the state is carried from window to window to the document's end. Shards of about ``SHARD`` tokens in whole
+documents are trained side by side and averaged by their tokens, ``ROUNDS`` times. Scoring runs every document to its
 end, many side by side, state carried across windows and reset at each document's start.
 
 Scale: words are counted within tasks before the shuffle. Counts of the most frequent words, at most
@@ -38,8 +38,8 @@ from glyphmill.llm._common import Workspace, slot, texts
 CLASSES, SLOTS, HIDDEN = 32, 32, 24
 VOCAB = CLASSES * SLOTS
 HEAVY = 200_000
-SPAN, SPACING, WINDOW, ROUNDS = 48, 1024, 24, 1
-LANES, RATE, SHARD = 128, 0.08, 20_000
+WINDOW, ROUNDS = 24, 1
+LANES, RATE, SHARD = 128, 0.08, 20_000 * 48  # a shard's tokens
 SCORE_LANES, SCORE_WINDOW, SCORE_TOKENS = 512, 16, 3_000_000
 END = xxhash.xxh3_64_intdigest(b"\n") - 2**63  # no word holds white space
 
@@ -114,75 +114,155 @@ class Network:
                 out[i] += s[np.arange(len(i)), y[i] % SLOTS] - m - np.log(np.exp(s - m[:, None]).sum(1))
         return out
 
-    def gradient(self, xs: np.ndarray, ys: np.ndarray, h: np.ndarray, mask: np.ndarray) -> tuple[Network, np.ndarray]:
-        """Over a window [time, lane]: the gradient of the mean negative log-likelihood, and the last state."""
+    def gradient(self, xs: np.ndarray, ys: np.ndarray, h: np.ndarray, mask: np.ndarray, fresh: np.ndarray | None = None) -> tuple[Network, np.ndarray]:
+        """Over a window [time, lane]: the gradient of the mean negative log-likelihood, and the last state.
+
+        fresh: where a document's first word is the target, so the state before it is that of a start.
+        """
         grad = Network(np.zeros_like(self.vector))
-        states, saved = [h], []
-        for x in xs:
-            h, *rest = self.step(x, h)
-            saved.append(rest)
-            states.append(h)
+        steps, lanes = xs.shape
+        kind, two = self.vector.dtype, 2 * HIDDEN
+        begins = np.zeros(steps, bool) if fresh is None else fresh.any(1)
+        # units before lanes from here on, so that gates are contiguous
+        a = np.ascontiguousarray(self.e[xs].transpose(0, 2, 1))
+        ut, h = np.ascontiguousarray(self.u.T), np.ascontiguousarray(h.T)
+        hs = np.empty((steps, HIDDEN, lanes), kind)  # the state before each target
+        zrs, ns, gs = np.empty((steps, two, lanes), kind), np.empty_like(hs), np.empty_like(hs)
+        for t in range(steps):
+            if begins[t]:
+                h = np.where(fresh[t], kind.type(0), h)
+            hs[t] = h
+            g, zr, n = ut @ h, zrs[t], ns[t]
+            np.add(a[t, :two], g[:two], out=zr)
+            zr *= 0.5
+            np.tanh(zr, out=zr)
+            zr *= 0.5
+            zr += 0.5
+            gs[t] = g[two:]
+            np.multiply(zr[HIDDEN:], g[two:], out=n)
+            n += a[t, two:]
+            np.tanh(n, out=n)
+            h = h - n
+            h *= zr[:HIDDEN]
+            h += n
         total = max(1, int(mask.sum()))
-        hs = np.stack(states[:-1])  # the state before each target
-        flat, y, m = hs.reshape(-1, HIDDEN), ys.ravel(), mask.ravel().astype(np.float32) / total
-        logits = flat @ self.c + self.cb
-        p = np.exp(logits - logits.max(1)[:, None])
-        p /= p.sum(1)[:, None]
+        y = ys.ravel()
+        order = np.argsort((y // SLOTS).astype(np.int8), kind="stable")  # targets by class
+        flat = hs.transpose(0, 2, 1).reshape(-1, HIDDEN)
+        f, y = flat[order], y[order]
+        m = mask.ravel()[order].astype(kind) / kind.type(total)
         cls = y // SLOTS
-        p[np.arange(len(y)), cls] -= 1
-        p *= m[:, None]
-        grad.c += flat.T @ p
-        grad.cb += p.sum(0)
-        back = p @ self.c.T
-        for k in np.unique(cls):
-            if k == CLASSES:
-                continue
-            i = np.flatnonzero(cls == k)
-            s = flat[i] @ self.w[k] + self.wb[k]
-            q = np.exp(s - s.max(1)[:, None])
-            q /= q.sum(1)[:, None]
-            q[np.arange(len(i)), y[i] % SLOTS] -= 1
-            q *= m[i][:, None]
-            grad.w[k] += flat[i].T @ q
-            grad.wb[k] += q.sum(0)
-            back[i] += q @ self.w[k].T
-        back = back.reshape(hs.shape)
+        ft = np.ascontiguousarray(f.T)
+        p = self.c.T @ ft
+        p += self.cb[:, None]
+        _softmax_slope(p, cls, m)
+        grad.c += (p @ f).T
+        grad.cb += p.sum(1)
+        back = self.c @ p
+        edges = np.searchsorted(cls, np.arange(CLASSES + 1))
+        end = edges[CLASSES]
+        q = np.empty((SLOTS, end), kind)
+        for k in range(CLASSES):
+            i = slice(edges[k], edges[k + 1])
+            if edges[k] < edges[k + 1]:
+                q[:, i] = self.w[k].T @ ft[:, i]
+                q[:, i] += self.wb[k][:, None]
+        _softmax_slope(q, y[:end] % SLOTS, m[:end])
+        for k in range(CLASSES):
+            i = slice(edges[k], edges[k + 1])
+            if edges[k] < edges[k + 1]:
+                grad.w[k] += (q[:, i] @ f[i]).T
+                grad.wb[k] += q[:, i].sum(1)
+                back[:, i] += self.w[k] @ q[:, i]
+        placed = np.empty_like(flat)
+        placed[order] = back.T
+        back = placed.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1)
+        z, r = zrs[:, :HIDDEN], zrs[:, HIDDEN:]
+        # what each step's gates take of the gradient that comes back to the state after it
+        to_n = (1 - z) * (1 - ns * ns)
+        to_z = (hs - ns) * z * (1 - z)
+        to_r = gs * r * (1 - r)
         dh = np.zeros_like(h)
-        da = np.empty((*xs.shape, 3 * HIDDEN), np.float32)
-        for t in range(len(xs) - 1, -1, -1):
-            z, r, n, g = saved[t]
-            before = states[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            da[t, :, :HIDDEN] = dh * (before - n) * z * (1 - z)
-            da[t, :, HIDDEN : 2 * HIDDEN] = dn * g * r * (1 - r)
-            da[t, :, 2 * HIDDEN :] = dn
-            dg = da[t].copy()
-            dg[:, 2 * HIDDEN :] *= r
-            grad.u += before.T @ dg
-            dh = dh * z + dg @ self.u.T + back[t]
-        np.add.at(grad.e, xs.ravel(), da.reshape(-1, 3 * HIDDEN))
-        return grad, h
-
-
-def train_shard(net: Network, spans: list[np.ndarray], rate: float = RATE) -> Network:
-    """One pass of truncated backpropagation with per-parameter step sizes over spans of word numbers."""
+        da = np.empty((steps, 3 * HIDDEN, lanes), kind)
+        dg = np.empty((3 * HIDDEN, lanes), kind)
+        for t in range(steps - 1, -1, -1):
+            x = da[t]
+            dn = x[two:]
+            np.multiply(dh, to_n[t], out=dn)
+            np.multiply(dh, to_z[t], out=x[:HIDDEN])
+            np.multiply(dn, to_r[t], out=x[HIDDEN:two])
+            dg[:two] = x[:two]
+            np.multiply(dn, r[t], out=dg[two:])
+            grad.u += hs[t] @ dg.T
+            dh *= z[t]
+            dh += self.u @ dg
+            dh += back[t]
+            if begins[t]:
+                dh[:, fresh[t]] = 0
+        words = xs.ravel()
+        order = np.argsort(words.astype(np.int16), kind="stable")
+        words = words[order]
+        first = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+        grad.e[words[first]] = np.add.reduceat(da.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+        return grad, np.ascontiguousarray(h.T)
+
+
+def _softmax_slope(logits: np.ndarray, y: np.ndarray, m: np.ndarray) -> None:
+    """In place: the gradient of m * (negative log-likelihood of y) for logits [choice, target]."""
+    if logits.size:
+        logits -= logits.max(0)
+        np.exp(logits, out=logits)
+        logits *= m / logits.sum(0)
+        logits[y, np.arange(len(y))] -= m
+
+
+def _lanes(sizes: list[int], lanes: int) -> list[list[int]]:
+    """Items dealt to lanes, the longest first, each to the lane that is shortest so far; the longest lane first."""
+    loads = [(0, k) for k in range(min(lanes, len(sizes)))]
+    queue: list[list[int]] = [[] for _ in loads]
+    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        n, k = heapq.heappop(loads)
+        queue[k].append(i)
+        heapq.heappush(loads, (n + sizes[i], k))
+    return [queue[k] for _, k in sorted(loads, key=lambda x: (-x[0], x[1]))]
+
+
+def train_shard(net: Network, documents: list[np.ndarray], rate: float = RATE) -> Network:
+    """One pass of truncated backpropagation with per-parameter step sizes over whole documents of word numbers.
+
+    Documents follow each other in their lanes, every token is in one window, and the state is carried over
+    windows to the document's end.
+    """
     net = Network(net.vector.copy())
+    documents = [d for d in documents if len(d)]
+    if not documents:
+        return net
     square = np.full_like(net.vector, 1e-8)
-    for at in range(0, len(spans), LANES):
-        part = spans[at : at + LANES]
-        length = max(map(len, part))
-        x = np.full((length + 1, len(part)), VOCAB, np.int64)
-        mask = np.zeros((length, len(part)), bool)
-        for i, s in enumerate(part):
-            x[1 : len(s) + 1, i] = s
-            mask[: len(s), i] = True
-        h = np.zeros((len(part), HIDDEN), np.float32)
-        for t in range(0, length, WINDOW):
-            e = min(length, t + WINDOW)
-            # the state before the span's first word is that of a start: no word has been read
-            grad, h = net.gradient(x[t + 1 : e + 1], x[t + 1 : e + 1], h, mask[t:e])
-            square += grad.vector**2
-            net.vector -= rate * grad.vector / np.sqrt(square)
+    queue = _lanes([len(d) for d in documents], LANES)
+    words = [np.concatenate([documents[i] for i in q]) for q in queue]
+    starts = [np.cumsum([0, *(len(documents[i]) for i in q[:-1])]) for q in queue]
+    sizes = np.array([len(w) for w in words])
+    h = np.zeros((len(words), HIDDEN), np.float32)
+    at = [0] * len(words)
+    for t in range(0, int(sizes[0]), WINDOW):
+        n = int(np.searchsorted(-sizes, -t, "left"))  # lanes with more than t words
+        length = min(WINDOW, int(sizes[0]) - t)
+        x = np.full((length, n), VOCAB, np.int64)
+        mask, fresh = np.zeros((length, n), bool), np.zeros((length, n), bool)
+        for i in range(n):
+            part = words[i][t : t + length]
+            x[: len(part), i] = part
+            mask[: len(part), i] = True
+            while at[i] < len(starts[i]) and starts[i][at[i]] < t + length:
+                fresh[starts[i][at[i]] - t, i] = True
+                at[i] += 1
+        grad, h = net.gradient(x, x, h[:n], mask, fresh)
+        step = np.multiply(grad.vector, grad.vector)
+        square += step
+        np.sqrt(square, out=step)
+        np.divide(grad.vector, step, out=step)
+        step *= rate
+        net.vector -= step
     return net
 
 
@@ -191,29 +271,20 @@ def score_documents(net: Network, documents: list[np.ndarray], lanes: int = SCOR
     out = np.zeros(len(documents))
     if not documents:
         return out
-    loads = [(0, k) for k in range(min(lanes, len(documents)))]
-    queue: list[list[int]] = [[] for _ in loads]
-    for i in sorted(range(len(documents)), key=lambda i: -len(documents[i])):
-        n, k = heapq.heappop(loads)
-        queue[k].append(i)
-        heapq.heappush(loads, (n + len(documents[i]), k))
-    size = [0] * len(queue)
-    for n, k in loads:
-        size[k] = n
-    order = sorted(range(len(queue)), key=lambda k: -size[k])
-    lengths = np.array([size[k] for k in order])
-    xs = np.zeros((int(lengths[0]), len(order)), np.int16)
+    queue = _lanes([len(d) for d in documents], lanes)
+    lengths = np.array([sum(len(documents[i]) for i in q) for q in queue])
+    xs = np.zeros((int(lengths[0]), len(queue)), np.int16)
     owner = np.zeros(xs.shape, np.int32)
     fresh = np.zeros(xs.shape, bool)
-    for lane, k in enumerate(order):
+    for lane, q in enumerate(queue):
         at = 0
-        for i in queue[k]:
+        for i in q:
             n = len(documents[i])
             xs[at : at + n, lane] = documents[i]
             owner[at : at + n, lane] = i
             fresh[at, lane] = True
             at += n
-    h = np.zeros((len(order), HIDDEN), np.float32)
+    h = np.zeros((len(queue), HIDDEN), np.float32)
     for t in range(0, len(xs), window):
         states, words, who = [], [], []
         for s in range(t, min(len(xs), t + window)):
@@ -291,10 +362,11 @@ class Counts:
         self.rest = float(self.n - self.c[: self.vocab].sum() + self.v - self.vocab + 1)
 
 
-def _spans(docs: DataFrame, counts: Counts) -> DataFrame:
+def _encoded(docs: DataFrame, counts: Counts) -> DataFrame:
+    """Every training document whole, as numbers of its words and the end token: words."""
     shared = docs.sparkSession.sparkContext.broadcast(counts.h[: counts.vocab])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes({int(h): i for i, h in enumerate(shared.value)})
         end = codes.places.get(END, VOCAB)
         for batch in batches:
@@ -302,15 +374,11 @@ def _spans(docs: DataFrame, counts: Counts) -> DataFrame:
                 out = []
                 for text in texts(batch["text"].slice(at, 512)):
                     words = text.lower().split()
-                    n = len(words) + 1
-                    shift = xxhash.xxh3_64_intdigest(text) % SPACING
-                    for a in range(0, n, SPACING):
-                        b = a + min(shift, max(0, min(SPACING, n - a) - SPAN))
-                        part = [codes[w] for w in words[b : b + SPAN]] + [end] * (b + SPAN >= n)
-                        out.append(np.array([c if c >= 0 else VOCAB for c in part[:SPAN]], np.int16).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["span"])
+                    c = np.fromiter(map(codes.__getitem__, words), np.int16, len(words))
+                    out.append(np.append(np.where(c < 0, VOCAB, c), end).astype(np.int16).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["words"])
 
-    return docs.where("not held_out").select("text").mapInArrow(cut, "span binary")
+    return docs.where("not held_out").select("text").mapInArrow(encode, "words binary")
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,9 +395,9 @@ def fit(docs: DataFrame, counts: Counts, work: Workspace, rounds: int = ROUNDS)
     """docs (held_out, text)."""
     spark = docs.sparkSession
     net = Network.start(counts.c[: counts.vocab], counts.rest)
-    spans = work.cut(_spans(docs, counts))
-    shards = max(1, -(-spans.count() // SHARD))
-    dealt = spans.repartition(shards)
+    encoded = work.cut(_encoded(docs, counts))
+    shards = max(1, -(-counts.n // SHARD))
+    dealt = encoded.repartition(shards)
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(net.vector)
         rate = RATE / (k + 1)
@@ -337,17 +405,18 @@ def fit(docs: DataFrame, counts: Counts, work: Workspace, rounds: int = ROUNDS)
         def train(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
             start, part = Network(shared.value), []
             for batch in batches:
-                part += [np.frombuffer(x, np.int16) for x in batch["span"].to_pylist()]
+                part += [np.frombuffer(x, np.int16) for x in batch["words"].to_pylist()]
             if part:
-                out = train_shard(start, part, rate).vector.astype(np.float64) * len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary()), pa.array([float(len(part))])], names=["v", "weight"])
+                weight = float(sum(map(len, part)))
+                out = train_shard(start, part, rate).vector.astype(np.float64) * weight
+                yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary()), pa.array([weight])], names=["v", "weight"])
 
         schema = "v binary, weight double"
         some = dealt.mapInArrow(train, schema).repartition(max(1, math.isqrt(shards))).mapInArrow(_sum, schema)
         rows = some.coalesce(1).mapInArrow(_sum, schema).collect()
         if rows:
             net = Network((np.frombuffer(rows[0]["v"], np.float64) / rows[0]["weight"]).astype(np.float32))
-    work.drop(spans)
+    work.drop(encoded)
     return net
 
 

@@ -78,5 +78,56 @@ def test_gradient():
         assert abs((loss(net.vector + d) - loss(net.vector - d)) / 2e-5 - g[j]) < 1e-6
 
 
+def test_trains_on_every_token(spark):
+    rows = corpus()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    df = spark.createDataFrame([(held(i), t) for i, t in rows], "held_out boolean, text string").repartition(3)
+    counts = lm.Counts(lm._counted(df), 10_000)
+    place = {int(h): k for k, h in enumerate(counts.h[: counts.vocab])}
+    got = sorted(tuple(np.frombuffer(r.words, np.int16)) for r in lm._encoded(df, counts).collect())
+    assert got == sorted(tuple(place.get(lm.word_hash(w), lm.VOCAB) for w in words(t)) for i, t in rows if not held(i))
+
+
+def test_state_is_carried_to_the_end(monkeypatch):
+    monkeypatch.setattr(lm, "LANES", 2)
+    rng = np.random.default_rng(5)
+    docs = [rng.integers(0, 300, n).astype(np.int16) for n in (1, 130, 24, 70, 49)]
+    net = lm.Network.start(np.arange(300.0, 0, -1), 50.0)
+    seen, whole = [], lm.Network.gradient
+
+    def spy(self, xs, ys, h, mask, fresh):
+        seen.append((xs, h, mask, fresh))
+        return whole(self, xs, ys, h, mask, fresh)
+
+    monkeypatch.setattr(lm.Network, "gradient", spy)
+    lm.train_shard(net, docs, rate=0.0)  # the network stays, so states can be followed
+    assert sum(int(m.sum()) for *_, m, _ in seen) == sum(map(len, docs))
+    got = []
+    for lane in range(2):
+        h = np.zeros((1, lm.HIDDEN), np.float32)
+        for xs, before, mask, fresh in seen:
+            if lane < xs.shape[1]:
+                assert np.allclose(before[lane], h[0], atol=1e-5)
+                for x, m, new in zip(xs[:, lane], mask[:, lane], fresh[:, lane]):
+                    if new:
+                        h = np.zeros_like(h)
+                        got.append([])
+                    if m:
+                        got[-1].append(int(x))
+                    h = net.step(np.array([x]), h)[0]
+    assert sorted(got) == sorted(d.tolist() for d in docs)
+
+
+def test_gradient_stops_at_a_document_start():
+    rng = np.random.default_rng(6)
+    net = lm.Network(lm.Network.start(np.arange(300.0, 0, -1), 50.0).vector.astype(np.float64))
+    xs, h = rng.integers(0, 300, (7, 1)), rng.normal(0, 1, (1, lm.HIDDEN))
+    mask, fresh = np.ones((7, 1), bool), np.zeros((7, 1), bool)
+    fresh[4] = True
+    both = net.gradient(xs, xs, h, mask, fresh)[0].vector
+    parts = [net.gradient(xs[:4], xs[:4], h, mask[:4])[0].vector, net.gradient(xs[4:], xs[4:], np.zeros_like(h), mask[4:])[0].vector]
+    assert np.allclose(both, (4 * parts[0] + 3 * parts[1]) / 7, atol=1e-9)
+
+
 def test_empty(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
