@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and a randomness test battery over long tokens.
 
 Base spans come from three patterns. Beyond them, every maximal run of 20 or more characters of
-[A-Za-z0-9+/_=-] that mixes digits and letters is read in the encoding inferred from its characters
-(hex, base32, base64). If it is encoded random data, its symbols are uniform and independent; three
+[A-Za-z0-9+/_-], with its padding, that mixes digits and letters or cases, or is of capitals, is read in the
+encoding inferred from its characters (hex, base32, base64). If it is encoded random data, its symbols are uniform and independent; three
 tests give p-values for that: chi-squared of the alphabet in equal cells, Wald-Wolfowitz runs about the
 alphabet's middle, and lag-one serial correlation, joined by Fisher's method. Within each stratum of
 length, the Benjamini-Hochberg rule over all documents' tokens decides which are rejected as not random;
@@ -36,7 +36,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # leftmost and greedy: the maximal runs that are long enough
 KINDS = ("assign", "access", "hex", "random")
 SHORTEST = 20
-TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+TOKEN = re.compile(rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}=*")  # "=" only as padding: a value after an inner one stands by itself
 #: Every byte that cannot be part of a token becomes a space.
 TOKENS = bytes(c if chr(c) in "+/_=-" or (c < 128 and chr(c).isalnum()) else 32 for c in range(256))
 HINTS = ("passw", "secret", "token", "api")
@@ -78,8 +78,10 @@ def randomness(token: str) -> float | None:
     symbols = set(body)
     size, index = next(((len(set(a.values())), a) for a in ALPHABETS if symbols <= a.keys()), (0, None))
     n = len(body)
-    if index is None or n < SHORTEST or not any(c.isdigit() for c in symbols) or not any(c.isalpha() for c in symbols):
+    if index is None or n < SHORTEST or not any(c.isalpha() for c in symbols):
         return None
+    if not any(c.isdigit() for c in symbols) and not (symbols <= ALPHABETS[2].keys() or any(map(str.islower, body)) and any(map(str.isupper, body))):
+        return None  # letters of one case are no base64; capitals may be base32
     x = [index[c] for c in body]
     cells = 2
     while cells * 2 <= size and n >= cells * 2 * 4:

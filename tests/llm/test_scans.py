@@ -83,3 +83,19 @@ def test_secrets(spark):
     assert clean[1].text is None and clean[0].text == "" and clean[37].text == docs[37]
     assert not plain_spans(clean[2].text) and clean[2].n_chars == len(clean[2].text)
     assert S.find_secrets(df.limit(0)).collect() == []
+
+
+def test_secrets_in_assignments_and_without_digits(spark):
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    b64, b32 = letters + "0123456789+/", letters[:26] + "234567"
+    key = lambda a, n: "".join(rng.choice(a) for _ in range(n))
+    names = [("auth=", key(b64, 40), ""), ("AWS_KEY=", key(b64, 40), "=="), ("--key=", key(b32, 40), ""), ("?sig=", key(b64, 43), "=")] * 10
+    names += [("x ", key(letters, 40), "") for _ in range(10)] + [("x ", key(letters[:26], 40), "") for _ in range(10)]
+    rows = [(i, f"see {name}{value}{pad} end") for i, (name, value, pad) in enumerate(names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    clean = {r.doc_id: r.text for r in S.redact(df).collect()}
+    left = [i for i, (_, value, _) in enumerate(names) if value in clean[i]]
+    assert len([i for i in left if i < 40]) <= 10 and len([i for i in left if i >= 40]) <= 8
+    assert all(clean[i] == f"see {name}[random] end" for i, (name, _, _) in enumerate(names) if i not in left)
+    assert S.randomness("a" * 12 + "b" * 12) is None
