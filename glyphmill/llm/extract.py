@@ -4,7 +4,7 @@
 2. The trees of a host are aligned by simple tree matching (the order-preserving match of child lists that
    pairs most nodes) and merged: first within each task, then the tasks' trees of a host. A merged node
    counts its pages and remembers its text while it has been the same on all of them.
-3. The wrapper of a host: nodes whose text is constant on all its pages (three at least) are template;
+3. The wrapper of a host: nodes whose text is constant on all its pages (three distinct ones at least) are template;
    varying slots are content, but for those that their labels or their share of link text mark as
    navigation, notices, adverts, forms, comments and the like. Where pages mark an article, that is the
    content slot, and constant text within it stays.
@@ -20,6 +20,7 @@ by the page's end is dropped; an unknown or null url is the host ''; repeated ro
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -81,21 +82,34 @@ def content(name: str) -> bool:
     return tag in CONTENT or bool(rest) and any(CONTENT_WORDS.search(x.partition("=")[2]) for x in rest.split(" ") if x)
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
-    """The page's text blocks in order: (labels from the root to the block, text)."""
-    out: list[tuple[tuple[str, ...], str]] = []
+def _link(path: tuple[str, ...]) -> bool:
+    return any(name == "a" or name.startswith("a ") for name in path)
+
+
+def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
+    """The page's text blocks in order: (labels from the root to the block, text, link text length).
+
+    A block's path ends with its block-level element; inline labels follow only where all of its text is link
+    text, or all is in inline elements marked as noise.
+    """
+    out: list[tuple[tuple[str, ...], str, int]] = []
     tags: list[str] = []
     path: list[str] = []
-    pieces: list[str] = []
-    where: tuple[str, ...] = ()
+    pieces: list[tuple[str, tuple[str, ...], int]] = []  # text, path, length of the block's path
     at, end = 0, len(page)
 
     def flush() -> None:
         nonlocal pieces
         if pieces:
-            text = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
+            text = SPACE.sub(" ", html.unescape("".join(x[0] for x in pieces))).strip()
             if text:
-                out.append((where, text))
+                said = [x for x in pieces if not x[0].isspace()]
+                _, where, depth = said[0]
+                linked = sum(len(x[0]) for x in said if _link(x[1]))
+                whole = all(_link(x[1]) for x in said)
+                if not whole and not all(any(map(noise, x[1][x[2] :])) for x in said):
+                    where = where[:depth]
+                out.append((where, text, len(text) if whole else min(linked, len(text) - 1)))
             pieces = []
 
     def pop(n: int) -> None:
@@ -106,9 +120,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
         m = MARKUP.search(page, at)
         stop = m.start() if m else end
         if stop > at:
-            if not pieces:
-                where = tuple(path)
-            pieces.append(page[at:stop])
+            depth = next((n for n in range(len(tags), 0, -1) if tags[n - 1] in BLOCK), 0)
+            pieces.append((page[at:stop], tuple(path), depth))
         if not m:
             break
         at = m.end()
@@ -150,19 +163,19 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
 # A merged node: [pages, text (None: varies; '': none), text length, link text length, [[label, node], ...]]
 
 
-def tree(found: list[tuple[tuple[str, ...], str]]) -> list:
+def tree(found: list[tuple]) -> list:
+    """found: as of blocks(), perhaps without the link text length."""
     root = [1, "", 0, 0, []]
-    for path, text in found:
-        node, link = root, False
+    for path, text, *linked in found:
+        node = root
         for name in path:
-            link = link or name.split(" ")[0] == "a"
             below = next((x[1] for x in node[4] if x[0] == name), None)
             if below is None:
                 node[4].append([name, below := [1, "", 0, 0, []]])
             node = below
         node[1] = format(zlib.crc32(f"{node[1]}\n{text}".encode()), "x")
         node[2] += len(text)
-        node[3] += len(text) * link
+        node[3] += linked[0] if linked else len(text) * _link(path)
     return root
 
 
@@ -206,30 +219,45 @@ def merge(a: list, b: list) -> list:
     return [a[0] + b[0], a[1] if a[1] == b[1] else None, a[2] + b[2], a[3] + b[3], children]
 
 
-def excluded(root: list) -> list[str]:
-    """Paths of the wrapper whose text is no content: template text, and slots of links alone."""
+def page_tree(page: str) -> list:
+    """[tree, digest of the page's blocks as a list]"""
+    found = blocks(page)
+    digest = hashlib.blake2b(repr(found).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+    return [tree(found), [digest]]
+
+
+def join_trees(a: list, b: list) -> list:
+    """The merged trees, and digests of as many distinct pages as tell whether there are enough."""
+    return [merge(a[0], b[0]), sorted({*a[1], *b[1]})[:LEAST_PAGES]]
+
+
+def excluded(root: list, distinct: int) -> list[str]:
+    """Paths of the wrapper whose text is no content: template text, and slots of links alone.
+
+    distinct: pages of the host without copies, LEAST_PAGES at most. Fewer show nothing: copies are constant all over.
+    """
     out = []
 
     def walk(node: list, path: str, inside: bool) -> None:
         for name, below in node[4]:
             here, within = f"{path}/{name}", inside or content(name)
-            constant = below[1] is not None and below[1] != "" and below[0] >= LEAST_PAGES and below[0] == root[0]
+            constant = below[1] is not None and below[1] != "" and below[0] == root[0]
             links = below[2] > 0 and below[3] == below[2]
             if not within and (constant or links):
                 out.append(here)
             walk(below, here, within)
 
-    if root[0] >= LEAST_PAGES:
+    if distinct >= LEAST_PAGES:
         walk(root, "", False)
     return out
 
 
 def main_text(page: str, template: set[str]) -> str:
     found = blocks(page)
-    marked = any(any(map(content, p)) and not any(map(noise, p)) for p in dict.fromkeys(p for p, _ in found))
+    marked = any(any(map(content, p)) and not any(map(noise, p)) for p in dict.fromkeys(p for p, *_ in found))
     verdict: dict[tuple[str, ...], bool] = {}
     out = []
-    for path, text in found:
+    for path, text, _ in found:
         if (keep := verdict.get(path)) is None:
             keep = not any(map(noise, path))
             if marked:
@@ -260,8 +288,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             for name, page in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
-                t = tree(blocks(page or ""))
-                by[name] = merge(by[name], t) if name in by else t
+                t = page_tree(page or "")
+                by[name] = join_trees(by[name], t) if name in by else t
                 if len(by) >= 20_000:
                     yield emit()
         yield emit()
@@ -270,14 +298,15 @@ def wrappers(pages: DataFrame) -> DataFrame:
         whole = None
         for row in table["tree"].to_pylist():
             t = json.loads(row)
-            whole = t if whole is None else merge(whole, t)
+            whole = t if whole is None else join_trees(whole, t)
         return whole
 
     def some(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "tree": pa.array([json.dumps(fold(table))], pa.string())})
 
     def last(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "template": pa.array([excluded(fold(table))], pa.list_(pa.string()))})
+        whole, distinct = fold(table)
+        return pa.table({"host": pa.array([key[0].as_py()], pa.string()), "template": pa.array([excluded(whole, len(distinct))], pa.list_(pa.string()))})
 
     trees = pages.mapInArrow(induce, "host string, tree string")
     parts = trees.groupBy("host", F.pmod(F.xxhash64("tree"), F.lit(SALTS)).alias("salt")).applyInArrow(some, "host string, tree string")

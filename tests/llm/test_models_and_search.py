@@ -71,6 +71,16 @@ def test_extraction(spark):
     assert E.extract(df.limit(0)).collect() == []
 
 
+def test_inline_first_and_copies(spark):
+    body = "<div class=text><p><a href=/s>Smith {i}</a> said so</p><p><span class=share>Now {i}</span> go on</p><ul><li><a href=/q>Link {i}</a></ul></div>"
+    rows = [(i, f"http://a/{i}", PAGE.format(i=i, body=body.format(i=i))) for i in range(4)]
+    rows += [(10 + i, f"http://b/{i}", PAGE.format(i=0, body=PLAIN.format(i=0))) for i in range(5)]
+    got = {r.page_id: r.text for r in E.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for i in range(4):
+        assert got[i] == f"Smith {i} said so\nNow {i} go on"
+    assert {got[10 + i] for i in range(5)} == {"Read this site\nown words 0\nmore <0>"}
+
+
 def test_tree_matching():
     a = E.tree([(("html", "body", "p"), "x"), (("html", "body", "div"), "y")])
     b = E.tree([(("html", "body", "div"), "z"), (("html", "body", "ul"), "w")])
