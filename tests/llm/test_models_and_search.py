@@ -81,11 +81,76 @@ def test_inline_first_and_copies(spark):
     assert {got[10 + i] for i in range(5)} == {"Read this site\nown words 0\nmore <0>"}
 
 
+def plain_match(a, b):
+    """Simple tree matching as it is defined."""
+    if a.label != b.label:
+        return 0
+    t = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, u in enumerate(a.kids, 1):
+        for j, v in enumerate(b.kids, 1):
+            t[i][j] = max(t[i - 1][j], t[i][j - 1], t[i - 1][j - 1] + plain_match(u, v))
+    return 1 + t[-1][-1]
+
+
 def test_tree_matching():
-    a = E.tree([(("html", "body", "p"), "x"), (("html", "body", "div"), "y")])
-    b = E.tree([(("html", "body", "div"), "z"), (("html", "body", "ul"), "w")])
-    assert E.weight(a, b) == 4 and E.weight(a, a) == 5
-    m = E.merge(a, b)
-    body = m[4][0][1][4][0][1]
-    assert m[0] == 2 and [n for n, _ in body[4]] == ["p", "div", "ul"]
-    assert dict(body[4])["div"][1] is None and dict(body[4])["p"][0] == 1
+    rng = random.Random(4)
+
+    def grown(depth):
+        node = E.Node(rng.choice("ab") if depth < 4 else "")
+        if depth:
+            node.kids = [grown(depth - 1) for _ in range(rng.randint(0, 3))]
+        return node
+
+    for _ in range(200):
+        a, b = grown(4), grown(4)
+        assert E.weights(a, b)[id(a), id(b)] == plain_match(a, b)
+    for _ in range(100):
+        pairs = [(i, rng.randint(0, 9)) for i in range(rng.randint(0, 8))]
+        best = 0
+        for mask in range(1 << len(pairs)):
+            js = [p[1] for k, p in enumerate(pairs) if mask >> k & 1]
+            best = max(best, len(js)) if all(x < y for x, y in zip(js, js[1:])) else best
+        got = E._increasing(pairs)
+        assert len(got) == best and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
+
+
+def test_wrappers_find_constant_nodes_among_unlabelled_siblings():
+    def page(i, site=True):
+        first, last = ("<p>Site name", "<p>All rights reserved") if site else ("", "")
+        return f"<body>{first}<p>own {i} text that is long enough to be most of the page<p>more {i} text of the page, also long</p>{last}"
+
+    pages = [page(i) for i in range(12)] + [page(50, site=False)]  # absent from one page
+    whole = E.Tree()
+    for x in pages:
+        root = E.Page(x, with_tree=True).tree()
+        whole.add(root, [root.sig])
+    again = E.Tree()
+    again.add(*E.Tree.loads(whole.dumps()))
+    assert whole.template() == again.template() != []
+    for i, x in enumerate(pages):
+        got = E.main_text(x, {*whole.template()})
+        k = i if i < 12 else 50
+        assert got == f"own {k} text that is long enough to be most of the page\nmore {k} text of the page, also long"
+
+
+def test_wrappers_inside_marked_articles():
+    note = "<article><p>Story {i} of the day, as long as it may be</p><div>Sign up for our letters</div></article>"
+    for n, left_out in ((9, False), (10, True)):  # ten distinct pages are proof enough inside the mark
+        whole = E.Tree()
+        for i in range(n):
+            root = E.Page(note.format(i=i), with_tree=True).tree()
+            whole.add(root, [root.sig])
+        got = E.main_text(note.format(i=3), {*whole.template()})
+        assert got == "Story 3 of the day, as long as it may be" + ("" if left_out else "\nSign up for our letters")
+
+
+def test_deep_wide_and_long_pages(spark):
+    deep = [f"{'<div>' * 6000}text {i}{'</div>' * 6000}" for i in range(3)]
+    inline = "<b>" * 6000 + "x<i>y</i>" * 50
+    wide = ["".join(f"<p>{i} {k}<div>{k} {i}</div>" for k in range(3000)) for i in range(3)]
+    long = "<article><p>" + "word " * 250_000 + "</article>"
+    rows = [(i, "http://d/", x) for i, x in enumerate([*deep, inline, *wide, long])]
+    out = {r.page_id: r.text for r in E.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()}
+    assert [out[i] for i in range(3)] == ["text 0", "text 1", "text 2"]
+    assert out[3] == "x" + "yx" * 49 + "y" and len(out[7]) == 250_000 * 5 - 1
+    assert out[4].count("\n") == 5999
