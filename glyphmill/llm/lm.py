@@ -11,12 +11,15 @@ the state is carried from window to window to the document's end. Shards of abou
 documents are trained side by side and averaged by their tokens, ``ROUNDS`` times. Scoring runs every document to its
 end, many side by side, state carried across windows and reset at each document's start.
 
-Scale: words are counted within tasks before the shuffle. Counts of the most frequent words, at most
-``HEAVY``, are broadcast; the remaining words of each document meet their counts in a shuffled join. The
-number of shards follows the corpus, and parameters are summed in two steps, not on the driver.
+Scale: texts are read twice, to count words within tasks and to encode; training and scoring read the encoded
+rows. Counts of the most frequent words, at most ``HEAVY``, are broadcast; the remaining words of each document
+meet their counts in a shuffled join. The number of shards follows the corpus, and parameters are summed in two
+steps, not on the driver. A task holds a shard's numbers (2 bytes a token), a group of ``SCORE_TOKENS`` or one
+text's, and a window's states, however long a text is.
 
 Defined cases: a null text is empty and has the end token alone; a null id is not held out; repeated rows
-are trained on and scored each; without training rows every count is 0 and the model is the start model.
+are trained on and scored each; without training rows every count is 0 and the model is the start model. Documents
+are dealt to shards evenly, so trained scores depend a little on how the rows are laid out; counts do not.
 Words are told apart by a 64-bit hash.
 """
 
@@ -39,8 +42,8 @@ CLASSES, SLOTS, HIDDEN = 32, 32, 24
 VOCAB = CLASSES * SLOTS
 HEAVY = 200_000
 WINDOW, ROUNDS = 24, 1
-LANES, RATE, SHARD = 128, 0.08, 20_000 * 48  # a shard's tokens
-SCORE_LANES, SCORE_WINDOW, SCORE_TOKENS = 512, 16, 3_000_000
+LANES, RATE, SHARD = 256, 0.12, 4_000_000  # a shard's tokens
+SCORE_LANES, SCORE_WINDOW, SCORE_TOKENS = 512, 32, 2_000_000
 END = xxhash.xxh3_64_intdigest(b"\n") - 2**63  # no word holds white space
 
 
@@ -48,10 +51,6 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) - 2**63
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 class Network:
     """Gates: update, reset, new. Words: 0 .. VOCAB - 1 by frequency, VOCAB for all others."""
 
@@ -91,60 +90,71 @@ class Network:
             net.cb[:] = np.where(share > 0, np.log(np.maximum(share, 1e-9)) - np.log(share.sum()), -1e9)
         return net
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple:
-        a, g = self.e[x], h @ self.u
-        zr = _sigmoid(a[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(a[:, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
-        return n + z * (h - n), z, r, n, g[:, 2 * HIDDEN :]
-
-    def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log of each word's probability after its state; the rest's class alone for other words."""
-        logits = h @ self.c + self.cb
-        top = logits.max(1)
-        cls = y // SLOTS
-        out = logits[np.arange(len(y)), cls] - top - np.log(np.exp(logits - top[:, None]).sum(1))
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            i = order[edges[k] : edges[k + 1]]
-            if len(i):
-                s = h[i] @ self.w[k] + self.wb[k]
-                m = s.max(1)
-                out[i] += s[np.arange(len(i)), y[i] % SLOTS] - m - np.log(np.exp(s - m[:, None]).sum(1))
-        return out
-
-    def gradient(self, xs: np.ndarray, ys: np.ndarray, h: np.ndarray, mask: np.ndarray, fresh: np.ndarray | None = None) -> tuple[Network, np.ndarray]:
-        """Over a window [time, lane]: the gradient of the mean negative log-likelihood, and the last state.
+    def states(self, xs: np.ndarray, h: np.ndarray, fresh: np.ndarray | None = None, keep: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Over words [time, lane] from h [unit, lane]: the state before each word [time, unit, lane], and the last one.
 
-        fresh: where a document's first word is the target, so the state before it is that of a start.
+        fresh: where a document's first word stands, so the state before it is that of a start. keep: arrays
+        that take the gates, the new values and the state's part in them. Units come before lanes, so gates are contiguous.
         """
-        grad = Network(np.zeros_like(self.vector))
         steps, lanes = xs.shape
         kind, two = self.vector.dtype, 2 * HIDDEN
         begins = np.zeros(steps, bool) if fresh is None else fresh.any(1)
-        # units before lanes from here on, so that gates are contiguous
         a = np.ascontiguousarray(self.e[xs].transpose(0, 2, 1))
-        ut, h = np.ascontiguousarray(self.u.T), np.ascontiguousarray(h.T)
-        hs = np.empty((steps, HIDDEN, lanes), kind)  # the state before each target
-        zrs, ns, gs = np.empty((steps, two, lanes), kind), np.empty_like(hs), np.empty_like(hs)
+        ut = np.ascontiguousarray(self.u.T)
+        hs = np.empty((steps, HIDDEN, lanes), kind)
+        zr, n, g = np.empty((two, lanes), kind), np.empty((HIDDEN, lanes), kind), np.empty((3 * HIDDEN, lanes), kind)
         for t in range(steps):
             if begins[t]:
                 h = np.where(fresh[t], kind.type(0), h)
             hs[t] = h
-            g, zr, n = ut @ h, zrs[t], ns[t]
+            np.matmul(ut, h, out=g)
+            if keep is not None:
+                zr, n = keep[0][t], keep[1][t]
+                keep[2][t] = g[two:]
             np.add(a[t, :two], g[:two], out=zr)
             zr *= 0.5
             np.tanh(zr, out=zr)
             zr *= 0.5
             zr += 0.5
-            gs[t] = g[two:]
             np.multiply(zr[HIDDEN:], g[two:], out=n)
             n += a[t, two:]
             np.tanh(n, out=n)
             h = h - n
             h *= zr[:HIDDEN]
             h += n
+        return hs, h
+
+    def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Natural log of each word's probability after its state [word, unit]; the rest's class alone for other words."""
+        order = np.argsort((y // SLOTS).astype(np.int8), kind="stable")
+        ft, y = np.ascontiguousarray(h[order].T), y[order]
+        cls = y // SLOTS
+        p = self.c.T @ ft
+        p += self.cb[:, None]
+        found = _log_choice(p, cls)
+        edges = np.searchsorted(cls, np.arange(CLASSES + 1))
+        q = np.empty((SLOTS, edges[CLASSES]), ft.dtype)
+        for k in range(CLASSES):
+            i = slice(edges[k], edges[k + 1])
+            if edges[k] < edges[k + 1]:
+                np.matmul(self.w[k].T, ft[:, i], out=q[:, i])
+                q[:, i] += self.wb[k][:, None]
+        found[: edges[CLASSES]] += _log_choice(q, y[: edges[CLASSES]] % SLOTS)
+        out = np.empty_like(found)
+        out[order] = found
+        return out
+
+    def gradient(self, xs: np.ndarray, ys: np.ndarray, h: np.ndarray, mask: np.ndarray, fresh: np.ndarray | None = None) -> tuple[Network, np.ndarray]:
+        """Over a window [time, lane]: the gradient of the mean negative log-likelihood, and the last state.
+
+        fresh: where a document's first word is the target, so the state before it is that of a start.
+        """
+        grad = Network(np.zeros_like(self.vector))
+        steps, lanes = xs.shape
+        kind, two = self.vector.dtype, 2 * HIDDEN
+        begins = np.zeros(steps, bool) if fresh is None else fresh.any(1)
+        zrs, ns, gs = np.empty((steps, two, lanes), kind), np.empty((steps, HIDDEN, lanes), kind), np.empty((steps, HIDDEN, lanes), kind)
+        hs, h = self.states(xs, np.ascontiguousarray(h.T), fresh, (zrs, ns, gs))
         total = max(1, int(mask.sum()))
         y = ys.ravel()
         order = np.argsort((y // SLOTS).astype(np.int8), kind="stable")  # targets by class
@@ -207,6 +217,16 @@ class Network:
         return grad, np.ascontiguousarray(h.T)
 
 
+def _log_choice(logits: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For logits [choice, target], which are used up: the log of the softmax at y."""
+    if not logits.size:
+        return np.zeros(len(y), logits.dtype)
+    logits -= logits.max(0)
+    chosen = logits[y, np.arange(len(y))]
+    np.exp(logits, out=logits)
+    return chosen - np.log(logits.sum(0))
+
+
 def _softmax_slope(logits: np.ndarray, y: np.ndarray, m: np.ndarray) -> None:
     """In place: the gradient of m * (negative log-likelihood of y) for logits [choice, target]."""
     if logits.size:
@@ -238,25 +258,11 @@ def train_shard(net: Network, documents: list[np.ndarray], rate: float = RATE) -
     if not documents:
         return net
     square = np.full_like(net.vector, 1e-8)
-    queue = _lanes([len(d) for d in documents], LANES)
-    words = [np.concatenate([documents[i] for i in q]) for q in queue]
-    starts = [np.cumsum([0, *(len(documents[i]) for i in q[:-1])]) for q in queue]
-    sizes = np.array([len(w) for w in words])
-    h = np.zeros((len(words), HIDDEN), np.float32)
-    at = [0] * len(words)
-    for t in range(0, int(sizes[0]), WINDOW):
-        n = int(np.searchsorted(-sizes, -t, "left"))  # lanes with more than t words
-        length = min(WINDOW, int(sizes[0]) - t)
-        x = np.full((length, n), VOCAB, np.int64)
-        mask, fresh = np.zeros((length, n), bool), np.zeros((length, n), bool)
-        for i in range(n):
-            part = words[i][t : t + length]
-            x[: len(part), i] = part
-            mask[: len(part), i] = True
-            while at[i] < len(starts[i]) and starts[i][at[i]] < t + length:
-                fresh[starts[i][at[i]] - t, i] = True
-                at[i] += 1
-        grad, h = net.gradient(x, x, h[:n], mask, fresh)
+    read = _Windows(documents, LANES)
+    h = np.zeros((len(read.sizes), HIDDEN), np.float32)
+    for t in range(0, int(read.sizes[0]), WINDOW):
+        x, mask, fresh, _ = read(t, WINDOW)
+        grad, h = net.gradient(x, x, h[: x.shape[1]], mask, fresh)
         step = np.multiply(grad.vector, grad.vector)
         square += step
         np.sqrt(square, out=step)
@@ -266,40 +272,44 @@ def train_shard(net: Network, documents: list[np.ndarray], rate: float = RATE) -
     return net
 
 
+class _Windows:
+    """Documents laid end to end in lanes, the longest lane first, and read window by window: numbers [time, lane],
+    which of them count, where a document begins, and whose they are. Beside the documents, memory is a window's."""
+
+    def __init__(self, documents: list[np.ndarray], lanes: int) -> None:
+        queue = _lanes([len(d) for d in documents], lanes)
+        self.words = [np.concatenate([documents[i] for i in q]) for q in queue]
+        self.owner = [np.repeat(np.array(q, np.int32), [len(documents[i]) for i in q]) for q in queue]
+        self.sizes = np.array([len(w) for w in self.words])
+
+    def __call__(self, t: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        n = int(np.searchsorted(-self.sizes, -t, "left"))  # lanes with more than t words
+        length = min(length, int(self.sizes[0]) - t)
+        x = np.full((n, length), VOCAB, np.int64)
+        who, last = np.full((n, length), -1, np.int32), np.full((n, 1), -1, np.int32)
+        for i in range(n):
+            part = self.words[i][t : t + length]
+            x[i, : len(part)] = part
+            who[i, : len(part)] = self.owner[i][t : t + length]
+            if t:
+                last[i] = self.owner[i][t - 1]
+        fresh = (who != np.concatenate([last, who[:, :-1]], 1)) & (who >= 0)
+        return tuple(np.ascontiguousarray(a.T) for a in (x, who >= 0, fresh, who))
+
+
 def score_documents(net: Network, documents: list[np.ndarray], lanes: int = SCORE_LANES, window: int = SCORE_WINDOW) -> np.ndarray:
     """Each document's natural log-likelihood under the network, to its end, from a fresh state."""
     out = np.zeros(len(documents))
     if not documents:
         return out
-    queue = _lanes([len(d) for d in documents], lanes)
-    lengths = np.array([sum(len(documents[i]) for i in q) for q in queue])
-    xs = np.zeros((int(lengths[0]), len(queue)), np.int16)
-    owner = np.zeros(xs.shape, np.int32)
-    fresh = np.zeros(xs.shape, bool)
-    for lane, q in enumerate(queue):
-        at = 0
-        for i in q:
-            n = len(documents[i])
-            xs[at : at + n, lane] = documents[i]
-            owner[at : at + n, lane] = i
-            fresh[at, lane] = True
-            at += n
-    h = np.zeros((len(queue), HIDDEN), np.float32)
-    for t in range(0, len(xs), window):
-        states, words, who = [], [], []
-        for s in range(t, min(len(xs), t + window)):
-            n = int(np.searchsorted(-lengths, -s, "left"))  # lanes with more than s words
-            x = xs[s, :n].astype(np.int64)
-            h = h[:n]
-            new = fresh[s, :n]
-            if new.any():
-                h = np.where(new[:, None], np.float32(0), h)
-            states.append(h)
-            words.append(x)
-            who.append(owner[s, :n])
-            h = net.step(x, h)[0]
-        p = net.log_probs(np.concatenate(states), np.concatenate(words))
-        out += np.bincount(np.concatenate(who), p, len(out))
+    read = _Windows(documents, lanes)
+    h = np.zeros((HIDDEN, len(read.sizes)), np.float32)
+    for t in range(0, int(read.sizes[0]), window):
+        x, mask, fresh, who = read(t, window)
+        hs, h = net.states(x, h[:, : x.shape[1]], fresh)
+        p = net.log_probs(hs.transpose(0, 2, 1).reshape(-1, HIDDEN), x.ravel())
+        use = mask.ravel()
+        out += np.bincount(who.ravel()[use], p[use], len(out))
     return out
 
 
@@ -362,23 +372,43 @@ class Counts:
         self.rest = float(self.n - self.c[: self.vocab].sum() + self.v - self.vocab + 1)
 
 
-def _encoded(docs: DataFrame, counts: Counts) -> DataFrame:
-    """Every training document whole, as numbers of its words and the end token: words."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts.h[: counts.vocab])
+ENCODED = "uid long, doc_id {}, held_out boolean, n_tokens long, known long, common double, other double, n_other long, words binary, h array<long>, times array<int>"
+ENCODED_TYPES = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+
+
+def _encoded(source: DataFrame, counts: Counts) -> DataFrame:
+    """Per row (uid, doc_id, held_out, text): the whole text as the network's numbers of its words and the end token
+    (words, 16 bits each), sums over words whose counts are at hand, and the other words by hash.
+
+    common, other: log10(count + 1) over all heavy words, and over those beyond VOCAB.
+    """
+    shared = source.sparkSession.sparkContext.broadcast((counts.h, np.append(np.log10(counts.c + 1.0), 0.0)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes({int(h): i for i, h in enumerate(shared.value)})
-        end = codes.places.get(END, VOCAB)
+        h, log_c = shared.value  # log_c ends with that of place -1: words whose count is looked up later
+        codes = _Codes({int(x): i for i, x in enumerate(h)})
+        end = codes.places.get(END, -1)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                out = []
-                for text in texts(batch["text"].slice(at, 512)):
+                part, rows = batch.slice(at, 512), []
+                for text in texts(part["text"]):
                     words = text.lower().split()
-                    c = np.fromiter(map(codes.__getitem__, words), np.int16, len(words))
-                    out.append(np.append(np.where(c < 0, VOCAB, c), end).astype(np.int16).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["words"])
+                    c = np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
+                    rare = Counter(words[i] for i in np.flatnonzero(c < 0).tolist())
+                    hashes, times = [word_hash(w) for w in rare], list(rare.values())
+                    if end < 0:
+                        hashes.append(END)
+                        times.append(1)
+                    c = np.append(c, np.int32(end))
+                    beyond = c >= VOCAB
+                    inside = (c >= 0) & ~beyond
+                    numbers = np.where(inside, c, VOCAB).astype("<i2").tobytes()
+                    rows.append((len(c), int((c >= 0).sum()), float(log_c[c].sum()), float(log_c[c[beyond]].sum()), int((~inside).sum()), numbers, hashes, times))
+                columns = [pa.array(x, t) for x, t in zip(zip(*rows), ENCODED_TYPES, strict=True)]
+                names = ["uid", "doc_id", "held_out", "n_tokens", "known", "common", "other", "n_other", "words", "h", "times"]
+                yield pa.RecordBatch.from_arrays([part["uid"], part["doc_id"], part["held_out"], *columns], names=names)
 
-    return docs.where("not held_out").select("text").mapInArrow(encode, "words binary")
+    return source.mapInArrow(encode, ENCODED.format(source.schema["doc_id"].dataType.simpleString()))
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,13 +421,12 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([weight])], names=["v", "weight"])
 
 
-def fit(docs: DataFrame, counts: Counts, work: Workspace, rounds: int = ROUNDS) -> Network:
-    """docs (held_out, text)."""
-    spark = docs.sparkSession
+def fit(encoded: DataFrame, counts: Counts, rounds: int = ROUNDS) -> Network:
+    """encoded (held_out, words), a written table."""
+    spark = encoded.sparkSession
     net = Network.start(counts.c[: counts.vocab], counts.rest)
-    encoded = work.cut(_encoded(docs, counts))
     shards = max(1, -(-counts.n // SHARD))
-    dealt = encoded.repartition(shards)
+    dealt = encoded.where("not held_out").select("words").repartition(shards)
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(net.vector)
         rate = RATE / (k + 1)
@@ -405,7 +434,7 @@ def fit(docs: DataFrame, counts: Counts, work: Workspace, rounds: int = ROUNDS)
         def train(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
             start, part = Network(shared.value), []
             for batch in batches:
-                part += [np.frombuffer(x, np.int16) for x in batch["words"].to_pylist()]
+                part += [np.frombuffer(x, "<i2") for x in batch["words"].to_pylist()]
             if part:
                 weight = float(sum(map(len, part)))
                 out = train_shard(start, part, rate).vector.astype(np.float64) * weight
@@ -416,69 +445,37 @@ def fit(docs: DataFrame, counts: Counts, work: Workspace, rounds: int = ROUNDS)
         rows = some.coalesce(1).mapInArrow(_sum, schema).collect()
         if rows:
             net = Network((np.frombuffer(rows[0]["v"], np.float64) / rows[0]["weight"]).astype(np.float32))
-    work.drop(encoded)
     return net
 
 
-SCORED = "uid long, doc_id {}, held_out boolean, n_tokens long, known long, common double, other double, n_other long, net double, h array<long>, times array<int>"
-SCORED_TYPES = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-
-
-def _scored(source: DataFrame, counts: Counts, net: Network) -> DataFrame:
-    """Per row (uid, doc_id, held_out, text): sums over words whose counts are at hand, the network's score, and
-    the other words by hash. common, other: log10(count + 1) over all heavy words, and over those beyond VOCAB."""
-    shared = source.sparkSession.sparkContext.broadcast((counts.h, np.log10(counts.c + 1.0), net.vector))
+def _network_scores(encoded: DataFrame, net: Network) -> DataFrame:
+    """uid, net: log10 of the network's probability of each row's words, the rest's class alone for words beyond it."""
+    shared = encoded.sparkSession.sparkContext.broadcast(net.vector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, log_c, vector = shared.value
-        model, codes = Network(vector), _Codes({int(x): i for i, x in enumerate(h)})
-        end = codes.places.get(END, -1)
-        log_c = np.append(log_c, 0.0)  # at -1: words whose count is looked up later
-        rows: list[tuple] = []
+        model = Network(shared.value)
+        ids: list[int] = []
         documents: list[np.ndarray] = []
-        ids: list = []
         waiting = 0
 
-        def flush(kind: pa.DataType) -> pa.RecordBatch:
-            scores = score_documents(model, documents) / math.log(10)
-            columns = [[] for _ in range(9)]
-            for row, x in zip(rows, scores.tolist()):
-                for c, v in zip(columns, (*row[1:7], x, *row[7:])):
-                    c.append(v)
-            out = [pa.array([r[0] for r in rows], pa.int64()), pa.array(ids, kind), *(pa.array(c, t) for c, t in zip(columns, SCORED_TYPES))]
-            names = ["uid", "doc_id", "held_out", "n_tokens", "known", "common", "other", "n_other", "net", "h", "times"]
-            rows.clear()
-            documents.clear()
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(score_documents(model, documents) / math.log(10))], names=["uid", "net"])
             ids.clear()
-            return pa.RecordBatch.from_arrays(out, names=names)
+            documents.clear()
+            return batch
 
-        kind = None
         for batch in batches:
-            kind = batch.schema.field("doc_id").type
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids += part["doc_id"].to_pylist()
-                for uid, held_out, text in zip(part["uid"].to_pylist(), part["held_out"].to_pylist(), texts(part["text"]), strict=True):
-                    words = text.lower().split()
-                    c = np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
-                    rare = Counter(words[i] for i in np.flatnonzero(c < 0).tolist())
-                    hashes, times = [word_hash(w) for w in rare], list(rare.values())
-                    if end < 0:
-                        hashes.append(END)
-                        times.append(1)
-                    c = np.append(c, np.int32(end))
-                    beyond = c >= VOCAB
-                    inside = (c >= 0) & ~beyond
-                    rows.append((uid, held_out, len(c), int((c >= 0).sum()), float(log_c[c].sum()), float(log_c[c[beyond]].sum()), int((~inside).sum()), hashes, times))
-                    documents.append(np.where(inside, c, VOCAB).astype(np.int16))
-                    waiting += len(c)
+            for uid, words in zip(batch["uid"].to_pylist(), batch["words"].to_pylist(), strict=True):
+                ids.append(uid)
+                documents.append(np.frombuffer(words, "<i2"))
+                waiting += len(documents[-1])
                 if waiting >= SCORE_TOKENS:
-                    yield flush(kind)
+                    yield flush()
                     waiting = 0
-        if rows:
-            yield flush(kind)
+        if ids:
+            yield flush()
 
-    return source.mapInArrow(run, SCORED.format(source.schema["doc_id"].dataType.simpleString()))
+    return encoded.select("uid", "words").mapInArrow(run, "uid long, net double")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY, modulus: int = 7, left_out: int = 2) -> DataFrame:
@@ -488,15 +485,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy
     source = slot(docs, id_col, text_col).withColumn("held_out", held)
     table = work.cut(_counted(source))
     counts = Counts(table, heavy)
-    net = fit(source, counts, work)
-    # a written table fixes the row numbers that the join below relies on
-    scored = work.cut(_scored(source.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text"), counts, net))
-    rare = scored.select("uid", F.explode(F.arrays_zip("h", "times")).alias("x")).select("uid", F.col("x.h").alias("h"), F.col("x.times").alias("times"))
+    # a written table fixes the row numbers that the joins below rely on
+    encoded = work.cut(_encoded(source.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text"), counts))
+    net = fit(encoded, counts)
+    scored = work.cut(_network_scores(encoded, net))
+    rare = encoded.select("uid", F.explode(F.arrays_zip("h", "times")).alias("x")).select("uid", F.col("x.h").alias("h"), F.col("x.times").alias("times"))
     looked_up = rare.join(table.where(F.col("c") < counts.least), "h").groupBy("uid").agg(
         F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("rare"), F.sum("times").alias("met")
     )
     met, lost = F.coalesce("met", F.lit(0)), F.coalesce("rare", F.lit(0.0))
-    return scored.join(looked_up, "uid", "left").select(
+    return encoded.drop("words", "h", "times").join(scored, "uid").join(looked_up, "uid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
