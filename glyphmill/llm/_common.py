@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -68,6 +69,22 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def each_text(function: Callable[[bytes | None], object], kind: pa.DataType) -> Callable[[Column], Column]:
+    """A column function of one text column: whole texts as UTF-8 bytes, null as None, some hundred at a time."""
+
+    @F.arrow_udf(pa_to_spark(kind))
+    def run(column: pa.Array) -> pa.Array:
+        raw = column.cast(pa.binary())
+        parts = [pa.array([function(x) for x in raw.slice(at, 512).to_pylist()], kind) for at in range(0, len(raw), 512)]
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    return run
+
+
+def pa_to_spark(kind: pa.DataType) -> str:
+    return {pa.bool_(): "boolean", pa.string(): "string", pa.int64(): "long"}[kind]
+
+
 def slot(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator needs, so other columns of any name cannot clash."""
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -17,7 +17,6 @@ gives a repeated result row; an empty benchmark contaminates nothing.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm._common import slot
+from glyphmill.llm._common import each_text, slot
 
 WINDOW = 8
 MAX_WINDOWS = 500_000  # of one broadcast chunk, about 100 MB compiled
@@ -198,19 +197,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, **c
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, min_items: int = 1, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The documents, all columns, in which windows of fewer than ``min_items`` items occur."""
-    at, schema = docs.columns.index(text_col), docs.schema
     for machine in _chunks(benchmark, item_col, item_text_col, max_windows):
         shared = docs.sparkSession.sparkContext.broadcast(machine)
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            search = shared.value.search
-            for batch in batches:
-                keep = []
-                for text in batch.column(at).cast(pa.binary()).to_pylist():
-                    keep.append(len(set().union(*(x[2] for x in search(text or b"")[1]))) < min_items)
-                yield batch.filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(scan, schema)
+        clean = each_text(lambda raw, shared=shared: len(set().union(*(x[2] for x in shared.value.search(raw or b"")[1]))) < min_items, pa.bool_())
+        docs = docs.where(clean(F.col(text_col)))
     return docs
 
 
@@ -219,7 +209,3 @@ def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
 
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
-
-def items_digest(items: list[str]) -> str:
-    """The digest as the query derives it, for tests."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

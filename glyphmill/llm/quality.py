@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm._common import slot
+from glyphmill.llm._common import each_text, slot
 
 SAMPLE = 2000  # labelled documents that training may use, held by the driver
 BUCKETS, DIM, STEPS, RATE = 1 << 17, 8, 8_000, 0.4  # STEPS: documents seen in training, at any size
@@ -69,7 +69,7 @@ class Model:
         return self.__dict__ | {"words": {}}
 
     def _word(self, word: bytes) -> tuple[float, int]:
-        if len(self.words) > 400_000:
+        if len(self.words) > 100_000:
             self.words.clear()
         f = word_features(word)
         self.words[word] = out = (float(self.weight[f].sum()), len(f))
@@ -158,16 +158,10 @@ def quality_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The documents, all columns, that the model does not reject."""
+    """The documents, all columns, that the model does not reject. Only texts leave the JVM, one truth value comes back."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = shared.value.score
-        for batch in batches:
-            yield batch.filter(pa.array([score(x or b"") >= 0.5 for x in batch.column(at).cast(pa.binary()).to_pylist()], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    good = each_text(lambda raw: shared.value.score(raw or b"") >= 0.5, pa.bool_())
+    return docs.where(good(F.col(text_col)))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm._common import slot
+from glyphmill.llm._common import each_text, slot
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
@@ -212,10 +212,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", level: float = LEVEL) -> DataFrame:
     """The documents, all columns, with each secret's characters replaced by [kind]; the length follows the text."""
     cuts = thresholds(docs, text_col, level)
-    at = docs.columns.index(text_col)
-    size = docs.columns.index(length_col) if length_col in docs.columns else None
 
-    def clean(raw: bytes) -> str:
+    def clean(raw: bytes | None) -> str | None:
+        if raw is None:
+            return None
         text, out, to = raw.decode(), [], 0
         for a, k, b in secret_spans(raw, cuts)[1]:
             if a >= to:
@@ -223,20 +223,12 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
             to = max(to, b)
         return "".join(out) + text[to:] if out else text
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            old = batch.column(at).cast(pa.binary()).to_pylist()
-            new = [None if x is None else clean(x) for x in old]
-            columns = list(batch.columns)
-            columns[at] = pa.array(new, pa.string())
-            if size is not None:
-                lengths = batch.column(size).to_pylist()
-                columns[size] = pa.array(
-                    [was if t is None or t.encode() == o else len(t) for was, t, o in zip(lengths, new, old, strict=True)], batch.column(size).type
-                )
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    return docs.mapInArrow(run, docs.schema)
+    new = each_text(clean, pa.string())(F.col(text_col))
+    found = docs.select("*", new.alias("_gm_new"))
+    if length_col in docs.columns:
+        length = F.when(F.col("_gm_new").eqNullSafe(F.col(text_col)), F.col(length_col)).otherwise(F.length("_gm_new").cast(docs.schema[length_col].dataType))
+        found = found.withColumn(length_col, length)
+    return found.withColumn(text_col, F.col("_gm_new")).drop("_gm_new")
 
 
 def op7_secrets(spark, sf_dir: str) -> DataFrame:
