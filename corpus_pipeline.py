@@ -2,12 +2,15 @@
 
 Every stage but the last returns the columns of ``documents``; the last returns packed pieces. A stage
 takes (spark, docs, sf_dir), and its result is written as Parquet and reread as the next one's docs.
+
+Defined cases: a null text is an empty one in every stage and stays null; rows without an id stay but for what
+their texts decide; of rows equal in id and text one stays; extra columns, of any name, are kept; an empty table
+gives empty results with the same columns.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from glyphmill.llm import decontaminate as decontamination
 from glyphmill.llm import near_dedup, pack, quality, secrets
@@ -35,8 +38,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents, packed into sequences."""
-    return pack.pack(docs)
+    """The pieces of the documents with their token ids, packed into sequences."""
+    return pack.pack(docs, keep_ids=True)
 
 
 STAGES = [
