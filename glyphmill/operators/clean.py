@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glyphmill.functions.filters import END_OF_FRAGMENT
@@ -109,82 +113,104 @@ SKIPPED = [
 HEADER_LINES, FOOTER_LINES = 600, 100  # kept lines up to which a header may end, and from which a footer may begin
 
 
-def _starts(line: Column, prefixes: list[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, prefixes)), lambda p: F.startswith(line, p))
-
-
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, pos, line: a final line break makes no line of its own."""
-    split = F.split(F.regexp_replace(F.col(text_col), r"(\r\n|\n|\r)\z", ""), r"\r\n|\n|\r")
-    return docs.where(F.octet_length(text_col) > 0).select(id_col, F.posexplode(split).alias("pos", "line"))
-
-
-def _joined(lines: DataFrame, id_col: str) -> DataFrame:
-    in_order = F.array_sort(F.collect_list(F.struct("pos", "line")))
-    return lines.groupBy(id_col).agg(F.array_join(F.transform(in_order, lambda x: x["line"]), "\n").alias("text"))
+_MARKERS = tuple(START_MARKERS + END_MARKERS + LEGAL_START + LEGAL_END)
+_BREAK = re.compile(r"\r\n|\n|\r")
+
+
+def stripped(text: str, header: int = HEADER_LINES, footer: int = FOOTER_LINES) -> str:
+    """One text without header, footer and legal notices: only lines that begin with a marker are looked at."""
+    lines = _BREAK.split(text)
+    if lines[-1] == "":
+        lines.pop()  # a final line break makes no line of its own
+    drop: list[tuple[int, int]] = []  # ranges of lines left out
+    gone, legal, end = 0, None, len(lines)  # lines left out so far; where an open notice begins
+    for k in (k for k, line in enumerate(lines) if line.startswith(_MARKERS)):
+        kept = (k if legal is None else legal) - gone
+        if kept <= header and lines[k].startswith(tuple(START_MARKERS)):
+            drop.append((0, k + 1))
+        elif kept >= footer and lines[k].startswith(tuple(END_MARKERS)):
+            end = k
+            break
+        elif lines[k].startswith(tuple(LEGAL_START)):
+            if legal is None:
+                legal = k
+            continue
+        elif lines[k].startswith(tuple(LEGAL_END)):
+            drop.append((k if legal is None else legal, k + 1))
+            gone += k + 1 - drop[-1][0]
+            legal = None
+            continue
+        else:
+            continue
+        if legal is None:
+            gone += 1
+    if legal is not None:
+        drop.append((legal, end))
+    out, at = [], max((b for a, b in drop if a == 0), default=0)
+    for a, b in sorted(drop):
+        if b > at:
+            out += lines[at : max(a, at)]
+            at = b
+    return "\n".join(out + lines[at:end])
+
+
+def _paragraph(lines: list[str]) -> list[str]:
+    """Prose as one line, verse and lists as they are."""
+    bare = [x.strip() for x in lines]
+    upper = [x[0].isupper() for x in bare]
+    breaks = any(up and before[-1] not in ".!?" for before, up in zip(bare, upper[1:]))
+    if breaks and all(up or not x[0].isalpha() for x, up in zip(bare, upper)):
+        return lines
+    return [" ".join([lines[0].rstrip(), *bare[1:]])]
+
+
+def unwrapped(text: str) -> str:
+    """One text with its paragraphs unwrapped, from the first retained one on."""
+    out: list[str] | None = None
+    lines = text.split("\n")
+    for blank, run in itertools.groupby(enumerate(lines), key=lambda x: not x[1].strip()):
+        places, part = zip(*run)
+        if out is None:
+            final = places[-1] == len(lines) - 1
+            if blank or (not final and part[0].startswith(tuple(SKIPPED))):
+                continue
+            out = [] if final else ["", ""]
+        out += [""] * len(part) if blank else _paragraph(list(part))
+    return "\n".join(out or [])
+
+
+def _each(function: Callable[[str], str]) -> Callable[[Column], Column]:
+    """Row by row; a null text is an empty one."""
+
+    @F.arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([function(x) if x else "" for x in column.to_pylist()], pa.string())
+
+    return run
 
 
 def strip_headers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", header: int = HEADER_LINES, footer: int = FOOTER_LINES) -> DataFrame:
     """id, text without header, footer and legal notices. A text of which nothing is left is empty.
 
     Up to ``header`` kept lines, a start marker drops all before it and itself; from ``footer`` kept lines on,
-    an end marker stops the text. The window is one text's lines.
+    an end marker stops the text. A map of rows: nothing is shuffled, and ids may be null or repeated.
     """
-    w = W.partitionBy(id_col).orderBy("pos")
-    so_far, earlier = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
-    line = F.col("line")
-    legal = F.when(_starts(line, LEGAL_START), 1).when(_starts(line, LEGAL_END), 0)
-    x = lines_of(docs, id_col, text_col).select(id_col, "pos", "line", legal.alias("legal"), _starts(line, START_MARKERS).alias("starts"), _starts(line, END_MARKERS).alias("ends"))
-    x = x.withColumn("plain", F.col("legal").isNull() & (F.coalesce(F.last("legal", ignorenulls=True).over(so_far), F.lit(0)) == 0))
-    kept = lambda flag: F.coalesce(F.sum(flag.cast("int")).over(earlier), F.lit(0))
-    x = x.withColumn("heads", F.col("starts") & (kept(F.col("plain") & ~F.col("starts")) <= header))
-    x = x.withColumn("stops", F.col("ends") & ~F.col("heads") & (kept(F.col("plain") & ~F.col("heads")) >= footer))
-    x = x.withColumn("over", F.max("stops").over(so_far))
-    x = x.withColumn("last", F.max(F.when(F.col("heads") & ~F.col("over"), F.col("pos"))).over(W.partitionBy(id_col)))
-    x = x.where("plain and not heads and not over and (last is null or pos > last)")
-    return docs.select(id_col).join(_joined(x, id_col), id_col, "left").select(id_col, F.coalesce("text", F.lit("")).alias("text"))
-
-
-def _trim(line: Column) -> Column:
-    return F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
-
-
-def _paragraph(lines: Column) -> Column:
-    """array<string>: prose as one line, verse and lists as they are."""
-    bare = F.transform(lines, _trim)
-    first = lambda x: F.substring(x, 1, 1)
-    upper = lambda x: x.rlike(r"^\p{IsUppercase}")
-    count = F.size(lines)
-    following = F.slice(bare, F.lit(2), count)
-    breaks = F.exists(F.zip_with(F.slice(bare, F.lit(1), count - 1), F.slice(following, F.lit(1), count - 1), lambda a, b: ~a.rlike("[.!?]$") & upper(b)), lambda x: x)
-    verse = breaks & F.forall(bare, lambda x: upper(x) | ~first(x).rlike(r"\p{L}"))
-    head = F.array(F.regexp_replace(F.get(lines, 0), r"(?U)\s+$", ""))
-    return F.when(verse, lines).otherwise(F.array(F.array_join(F.concat(head, following), " ")))
+    return docs.select(id_col, _each(lambda x: stripped(x, header, footer))(F.col(text_col)).alias("text"))
 
 
 def clean_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text with paragraphs unwrapped, and without the first paragraphs that are notices.
+    """id, text with paragraphs unwrapped, and without the first paragraphs that are notices. A map of rows.
 
     A blank line is empty in the result. All before the first retained paragraph goes; if a blank line ended
     that paragraph, two empty lines stand before it. A paragraph that the text's end ends is always retained.
     """
-    w = W.partitionBy(id_col).orderBy("pos")
-    x = docs.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    x = x.withColumn("blank", F.col("line").rlike(r"(?U)^\s*$"))
-    x = x.withColumn("run", F.sum(F.col("blank").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    x = x.withColumn("end", F.max("pos").over(W.partitionBy(id_col)))
-    key = F.when(F.col("blank"), F.concat(F.lit("b"), F.col("pos"))).otherwise(F.concat(F.lit("p"), F.col("run")))
-    rows = x.groupBy(id_col, key.alias("key"), "blank").agg(
-        F.min("pos").alias("pos"), (F.max("pos") == F.max("end")).alias("final"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]).alias("lines")
-    )
-    body = rows.select(id_col, "blank", "pos", "final", F.when(F.col("blank"), F.array(F.lit(""))).otherwise(_paragraph(F.col("lines"))).alias("lines"))
-    kept = ~F.col("blank") & (F.col("final") | ~_starts(F.get("lines", 0), SKIPPED))
-    start = F.min(F.when(kept, F.col("pos"))).over(W.partitionBy(id_col))
-    body = body.withColumn("start", start).where("pos >= start")
-    prefix = F.when((F.col("pos") == F.col("start")) & ~F.col("final"), F.concat(F.array(F.lit(""), F.lit("")), F.col("lines"))).otherwise(F.col("lines"))
-    parts = F.array_sort(F.collect_list(F.struct("pos", prefix.alias("lines"))))
-    text = body.groupBy(id_col).agg(F.array_join(F.flatten(F.transform(parts, lambda s: s["lines"])), "\n").alias("text"))
-    return docs.select(id_col).join(text, id_col, "left").select(id_col, F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(id_col, _each(unwrapped)(F.col(text_col)).alias("text"))
+
+
+def merge_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the merged corpus: the fragments in the order of ids, as text files whose names are in that order."""
+    found = fragments(docs, id_col, text_col)
+    found.repartitionByRange(id_col).sortWithinPartitions(id_col).select(F.col("fragment").alias("value")).write.option("lineSep", "").text(path)
 
 
 def fragments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ corpus's) and shipped with the function.
 
 from __future__ import annotations
 
+import re
 from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 
@@ -160,6 +161,32 @@ def greedy(text: Column, vocabulary: Vocabulary) -> Column:
     return _with_fallback(F.regexp_extract_all(byte_string(text), F.lit(pattern), F.lit(1)), vocabulary)
 
 
+def greedy_counts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
+    """token (in hex), cnt of the greedy segmentation; each task counts its own rows before the shuffle."""
+    by: dict[bytes, list[bytes]] = {}
+    for t in vocabulary:
+        by.setdefault(t.string[:1], []).append(t.string[1:])
+    # one branch for each first byte, so a place that starts no long token is settled at once
+    ways = [re.escape(first) + b"(?:" + b"|".join(map(re.escape, sorted(rest, key=lambda s: (-len(s), s)))) + b")" for first, rest in by.items()]
+    # where a first byte is no token by itself, the fallback's single byte follows
+    find = re.compile(b"|".join([*ways, b"."]), re.S).findall
+    known = {t.string for t in vocabulary}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for raw in batch["text"].cast(pa.binary()).to_pylist():
+                seen.update(find(raw or b""))
+        for byte in [s for s in seen if s not in known]:
+            n = seen.pop(byte)
+            for s in vocabulary.fallback_of(byte[0]):
+                seen[s] += n
+        tokens = [s.hex().upper() for s in seen]
+        yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["token", "cnt"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "token string, cnt long").groupBy("token").agg(F.sum("cnt").alias("cnt"))
+
+
 COUNTS = "kind string, left string, right string, cnt long"
 
 
@@ -194,6 +221,14 @@ def optimal_counts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "tex
     return filtered.mapInArrow(run, COUNTS).groupBy("kind", "left", "right").agg(F.sum("cnt").alias("cnt"))
 
 
+def optimal_report(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", filters: Iterable[str] = ()) -> DataFrame:
+    """token (in hex), cnt of the optimal segmentation, with literals written by the fallback's tokens."""
+    literal = F.create_map(*[x for b in range(256) for x in (F.lit(f"{b:02x}"), F.array(*[F.lit(s.hex()) for s in vocabulary.fallback_of(b)]))])
+    counts = optimal_counts(docs, vocabulary, text_col, filters).where("kind in ('token', 'literal')")
+    written = F.when(F.col("kind") == "token", F.array("left")).otherwise(literal[F.col("left")])
+    return counts.select(F.explode(written).alias("token"), "cnt").groupBy(F.upper("token").alias("token")).agg(F.sum("cnt").alias("cnt"))
+
+
 def suffix_tokens(vocabulary: DataFrame) -> DataFrame:
     """vocabulary (token_id, token, length) -> token and its longest proper suffix among the tokens, in hex."""
     long, short = vocabulary.alias("l"), vocabulary.alias("s")

@@ -3,20 +3,46 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.functions.filters import compose, hex_bytes
+from glyphmill.functions.filters import compose
 from glyphmill.operators.segment import optimal_counts
 from glyphmill.operators.vocabulary import Vocabulary
 
 
+def _counted(docs: DataFrame, text: Column, count: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """place, cnt: each task adds up the counts of its rows' bytes before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                found = count(batch["text"].slice(at, 1024).cast(pa.binary()).drop_null().to_pylist())
+                if len(found) > len(total):
+                    total = np.append(total, np.zeros(len(found) - len(total), np.int64))
+                total[: len(found)] += found
+        place = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(total[place])], names=["place", "cnt"])
+
+    return docs.select(text.alias("text")).mapInArrow(run, "place int, cnt long").groupBy("place").agg(F.sum("cnt").alias("cnt"))
+
+
+def _byte(place: Column) -> Column:
+    return F.lpad(F.hex(place), 2, "0")
+
+
 def byte_histogram(docs: DataFrame, text_col: str = "text", filters: Iterable[str] = ()) -> DataFrame:
     """byte (two hex digits), cnt; bytes that do not occur have no row."""
-    text = compose(filters)(F.col(text_col))
-    return docs.select(F.explode(hex_bytes(text)).alias("byte")).groupBy("byte").agg(F.count("*").alias("cnt"))
+
+    def count(raws: list[bytes]) -> np.ndarray:
+        return np.bincount(np.frombuffer(b"".join(raws), np.uint8), minlength=256)
+
+    return _counted(docs, compose(filters)(F.col(text_col)), count).select(_byte(F.col("place")).alias("byte"), "cnt")
 
 
 def top_bytes(docs: DataFrame, n: int, text_col: str = "text", filters: Iterable[str] = ()) -> DataFrame:
@@ -26,8 +52,11 @@ def top_bytes(docs: DataFrame, n: int, text_col: str = "text", filters: Iterable
 
 def char_histogram(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """code (code point), cnt."""
-    chars = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit("(?s)(.)"), F.lit(1))).alias("c"))
-    return chars.groupBy(F.ascii("c").alias("code")).agg(F.count("*").alias("cnt"))
+
+    def count(raws: list[bytes]) -> np.ndarray:
+        return np.bincount(np.frombuffer(b"".join(raws).decode().encode("utf-32-le"), np.uint32))
+
+    return _counted(docs, F.col(text_col), count).select(F.col("place").alias("code"), "cnt")
 
 
 def reserved_chars(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -37,15 +66,26 @@ def reserved_chars(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def hex_digit_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """digit, cnt over the hex digits of all bytes, rarest first; of equal counts, smaller digits first."""
-    digits = F.regexp_extract_all(F.lower(F.hex(F.encode(F.col(text_col), "UTF-8"))), F.lit("(.)"), F.lit(1))
-    return docs.select(F.explode(digits).alias("digit")).groupBy("digit").agg(F.count("*").alias("cnt")).orderBy("cnt", "digit")
+    both = F.lower("byte")
+    digits = byte_histogram(docs, text_col).select(F.explode(F.array(F.substring(both, 1, 1), F.substring(both, 2, 1))).alias("digit"), "cnt")
+    return digits.groupBy("digit").agg(F.sum("cnt").alias("cnt")).orderBy("cnt", "digit")
 
 
 def bigrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """left, right (bytes in hex), cnt: neighbouring bytes within a row."""
-    b = hex_bytes(F.col(text_col))
-    pairs = docs.select(b.alias("b")).select(F.explode(F.zip_with("b", F.slice("b", 2, F.greatest(F.size("b"), F.lit(1))), lambda x, y: F.struct(x.alias("x"), y.alias("y")))).alias("p"))
-    return pairs.where("p.y is not null").groupBy(F.col("p.x").alias("left"), F.col("p.y").alias("right")).agg(F.count("*").alias("cnt"))
+
+    def count(raws: list[bytes]) -> np.ndarray:
+        raws = [x for x in raws if x]
+        if not raws:
+            return np.zeros(0, np.int64)
+        x = np.frombuffer(b"".join(raws), np.uint8).astype(np.int32)
+        pairs = x[:-1] * 256 + x[1:]
+        within = np.ones(len(pairs), bool)
+        within[np.cumsum([len(r) for r in raws])[:-1] - 1] = False
+        return np.bincount(pairs[within], minlength=1 << 16)
+
+    place = F.col("place")
+    return _counted(docs, F.col(text_col), count).select(_byte(F.shiftright(place, 8)).alias("left"), _byte(place.bitwiseAND(255)).alias("right"), "cnt")
 
 
 def token_counts(docs: DataFrame, tokens: Column) -> DataFrame:

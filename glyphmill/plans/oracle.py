@@ -86,15 +86,64 @@ def _greedy() -> str:
 COUNTS = f"SELECT token, count(*) AS cnt FROM (SELECT unnest(string_split(tokens, ' ')) AS token FROM ({_greedy()}) WHERE tokens <> '') GROUP BY token"
 
 
-def _optimal_cost() -> str:
+def _costs(table: str, keys: str, vocabulary) -> str:
+    """c: the least cost up to each place, from 0 on; texts of null have no row."""
     ways = []
-    for t in Q.HEX:
+    for t in vocabulary:
         s = t.string.decode()
         n = len(s)
         ways.append(f"CASE WHEN pp[1] >= {n} AND text[pp[1] - {n - 1}:pp[1]] = {_text(s)} THEN c[pp[1] - {n - 1}] + 1 ELSE 1000000000 END")
-    literal = "c[pp[1]] + 3 * strlen(text[pp[1]:pp[1]])"
+    literal = f"c[pp[1]] + {vocabulary.literal_cost} * strlen(text[pp[1]:pp[1]])"
     steps = "list_prepend([0::BIGINT], list_transform(range(1, length(text) + 1), lambda p: [p]))"
-    return f"SELECT item_id, list_reduce({steps}, lambda c, pp: list_append(c, least({literal}, {', '.join(ways)})))[length(text) + 1] AS cost FROM benchmark"
+    return f"SELECT {keys}, text, list_reduce({steps}, lambda c, pp: list_append(c, least({literal}, {', '.join(ways)}))) AS c FROM {table} WHERE text IS NOT NULL"
+
+
+def _optimal_cost() -> str:
+    return f"SELECT item_id, c[length(text) + 1] AS cost FROM ({_costs('benchmark', 'item_id', Q.HEX)})"
+
+
+def _optimal_pieces(table: str, keys: str, vocabulary) -> str:
+    """WITH ... s: the optimal tokens backwards: keys, place of the end, piece (text), n (its length), own (a token or not).
+
+    Of equal costs, the longest last token.
+    """
+    longest = sorted((t.string.decode() for t in vocabulary), key=lambda s: (-len(s), s))
+    ways = " ".join(f"WHEN q >= {len(s)} AND text[q - {len(s) - 1}:q] = {_text(s)} AND c[q + 1] = c[q - {len(s) - 1}] + 1 THEN {len(s)}" for s in longest)
+    return f"""
+    WITH RECURSIVE k AS MATERIALIZED ({_costs(table, keys, vocabulary)}),
+    w AS (
+      SELECT {keys}, length(text) AS p, CAST(0 AS BIGINT) AS n, CAST(length(text) AS BIGINT) AS q FROM k
+      UNION ALL
+      SELECT {keys}, q, n, q - greatest(n, 1) FROM (
+        SELECT {keys}, q, CAST(CASE {ways} ELSE 0 END AS BIGINT) AS n
+        FROM w JOIN k USING ({keys}) WHERE q > 0)),
+    s AS (
+      SELECT {keys}, p, n > 0 AS own, text[p - greatest(n, 1) + 1:p] AS piece
+      FROM w JOIN k USING ({keys}) WHERE p > q)"""
+
+
+def _optimal_strings(table: str, keys: str, vocabulary) -> str:
+    """... b: a row for each token, and for each byte of a literal character: keys, p, k, own, h (hex)."""
+    return _optimal_pieces(table, keys, vocabulary) + f""",
+    b AS (
+      SELECT {keys}, p, own, unnest(CASE WHEN own THEN [hex(encode(piece))] ELSE regexp_extract_all(hex(encode(piece)), '..') END) AS h,
+        unnest(range(1, CASE WHEN own THEN 2 ELSE CAST(strlen(piece) AS BIGINT) + 1 END)) AS k
+      FROM s)"""
+
+
+def _optimal_tokens() -> str:
+    return f"""{_optimal_strings("conversations", "conv_id, turn", Q.BITS)},
+    j AS (SELECT conv_id, turn, string_agg(h, ' ' ORDER BY p, k) AS tokens FROM b GROUP BY conv_id, turn)
+    SELECT conv_id, turn, CASE WHEN text IS NOT NULL THEN coalesce(tokens, '') ELSE '' END AS tokens FROM conversations LEFT JOIN j USING (conv_id, turn)"""
+
+
+BENCHMARK = _optimal_strings("benchmark", "item_id", Q.HEX)
+OPTIMAL_COUNTS = f"{BENCHMARK} SELECT CASE WHEN own THEN 'token' ELSE 'literal' END AS kind, lower(h) AS token, count(*) AS cnt FROM b GROUP BY ALL"
+OPTIMAL_PAIRS = f"""{BENCHMARK}, f AS (SELECT lower(h) AS "left", lower(lead(h) OVER (PARTITION BY item_id ORDER BY p, k)) AS "right" FROM b)
+    SELECT "left", "right", count(*) AS cnt FROM f WHERE "right" IS NOT NULL GROUP BY ALL"""
+OPTIMAL_REPORT = f"""{BENCHMARK}
+    SELECT token, count(*) AS cnt FROM (SELECT unnest(CASE WHEN own THEN [h] ELSE string_split({_hex_fallback("h")}, ' ') END) AS token FROM b) GROUP BY token
+    ORDER BY cnt DESC, token LIMIT 200"""
 
 
 def _top_substrings() -> str:
@@ -202,6 +251,10 @@ SQL = {
         FROM t, s""",
     "token_stats_report": f"SELECT * FROM ({COUNTS}) ORDER BY cnt DESC, token LIMIT 200",
     "optimal_cost": _optimal_cost(),
+    "optimal_tokens": _optimal_tokens(),
+    "optimal_benchmark_counts": OPTIMAL_COUNTS,
+    "optimal_benchmark_pairs": OPTIMAL_PAIRS,
+    "optimal_benchmark_report": OPTIMAL_REPORT,
     "top_substrings": _top_substrings(),
     "suffix_tokens": f"""
         SELECT l.token AS token, max_by(s.token, length(s.token)) AS suffix

@@ -70,7 +70,7 @@ def _tokens(method, vocabulary):
 
 
 def token_counts(spark, d):
-    return stats.token_counts(_docs(spark, d), _hex(segment.greedy(F.col("text"), HEX)))
+    return segment.greedy_counts(_docs(spark, d), HEX)
 
 
 def token_stats(spark, d):
@@ -103,6 +103,23 @@ def optimal_pairs(spark, d):
     return segment.optimal_counts(_docs(spark, d), HEX, pairs=True).where("kind = 'pair'").select("left", "right", "cnt")
 
 
+def _of_benchmark(spark, d, pairs=False):
+    return segment.optimal_counts(_docs(spark, d, "benchmark"), HEX, pairs=pairs)
+
+
+def optimal_benchmark_counts(spark, d):
+    return _of_benchmark(spark, d).where("kind in ('token', 'literal')").select("kind", F.col("left").alias("token"), "cnt")
+
+
+def optimal_benchmark_pairs(spark, d):
+    return _of_benchmark(spark, d, pairs=True).where("kind = 'pair'").select("left", "right", "cnt")
+
+
+def optimal_benchmark_report(spark, d):
+    """The most frequent tokens of optimal segmentation, with literals written by the fallback."""
+    return stats.report(segment.optimal_report(_docs(spark, d, "benchmark"), HEX))
+
+
 def top_substrings(spark, d):
     found = mining.top_substrings(_docs(spark, d), TOP, longest=LONGEST)
     return spark.createDataFrame([(s.hex().upper(), len(s), n) for s, n in found], "gram string, length int, cnt long")
@@ -207,6 +224,9 @@ QUERIES = {
     "optimal_tokens": optimal_tokens,
     "optimal_token_counts": optimal_token_counts,
     "optimal_pairs": optimal_pairs,
+    "optimal_benchmark_counts": optimal_benchmark_counts,
+    "optimal_benchmark_pairs": optimal_benchmark_pairs,
+    "optimal_benchmark_report": optimal_benchmark_report,
     "top_substrings": top_substrings,
     "top_substrings_any_length": top_substrings_any_length,
     "suffix_tokens": suffix_tokens,

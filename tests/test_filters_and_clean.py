@@ -111,6 +111,21 @@ def test_clean_and_strip_against_loops(spark):
     assert got == {i: plain_strip(t, 6, 3) for i, t in rows}
 
 
+def test_clean_is_a_map_of_rows(spark, tmp_path):
+    rows = [(1, "First\ndoc."), (1, "Other\ndoc."), (None, "No id\nhere."), (2, None), (2, ""), (1, "First\ndoc."), (3, "A\n" * 50_000 + "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS line", "1 AS pos").repartition(3)
+    key = lambda frame: sorted((str(r.doc_id), r.text) for r in frame.collect())
+    assert key(clean.clean_text(df)) == sorted((str(i), plain_clean(t or "")) for i, t in rows)
+    assert key(clean.strip_headers(df)) == sorted((str(i), "\n".join((t or "").splitlines())) for i, t in rows)
+    assert key(sources.prepare(df)) == key(clean.clean_text(df))
+    assert clean.clean_text(df.limit(0)).collect() == [] and clean.strip_headers(df.limit(0)).collect() == []
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not any("Exchange" in f(plain)._jdf.queryExecution().executedPlan().toString() for f in (clean.clean_text, clean.strip_headers))
+    clean.merge_texts(spark.createDataFrame([(i, f"text {i}\n\n") for i in range(30)], "doc_id long, text string").repartition(4), str(tmp_path / "merged"))
+    merged = "".join(x.read_text() for x in sorted((tmp_path / "merged").glob("part-*")))
+    assert merged == "".join(f"text {i}\n\n\ue013" for i in range(30))
+
+
 def test_fragments_and_sources(spark, tmp_path):
     df = spark.createDataFrame([(1, "a\n\n\n"), (2, " \n"), (3, "b c"), (4, None), (5, "x \n y\n \n")], "doc_id long, text string")
     assert {r.doc_id: r.fragment for r in clean.fragments(df).collect()} == {1: "a\n\n\ue013", 3: "b c\n\ue013", 5: "x \n y\n\n\ue013"}
