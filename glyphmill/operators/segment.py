@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions.filters import byte_string, compose
-from glyphmill.operators.vocabulary import Vocabulary
+from glyphmill.operators.vocabulary import BITS_BASE, HEX_BASE, Vocabulary
 
 
 class Automaton:
@@ -120,6 +120,31 @@ def optimal(text: Column, vocabulary: Vocabulary, expand_literals: bool = True)
     return run(text)
 
 
+def decoded(tokens: Iterable[bytes]) -> bytes:
+    """The bytes that tokens write: a mark and two hex digits, or eight bits, are one byte. So texts must hold no reserved
+    character, as the filter of that name sees to."""
+    out, rest = bytearray(), iter(tokens)
+    for t in rest:
+        if t == HEX_BASE[0]:
+            out += bytes.fromhex((next(rest) + next(rest)).decode())
+        elif t in BITS_BASE:
+            bits = [t, *(next(rest) for _ in range(7))]
+            out.append(int("".join(str(BITS_BASE.index(b)) for b in bits), 2))
+        else:
+            out += t
+    return bytes(out)
+
+
+def decode(tokens: Column) -> Column:
+    """The text of an array of tokens (binary)."""
+
+    @F.arrow_udf("string")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else decoded(x).decode(errors="replace") for x in column.to_pylist()], pa.string())
+
+    return run(tokens)
+
+
 def optimal_cost(text: Column, vocabulary: Vocabulary) -> Column:
     """The number of tokens of the cheapest segmentation, fallback tokens counted each."""
     machine = Automaton(vocabulary)
@@ -221,6 +246,23 @@ def optimal_counts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "tex
     return filtered.mapInArrow(run, COUNTS).groupBy("kind", "left", "right").agg(F.sum("cnt").alias("cnt"))
 
 
+def optimal_costs(docs: DataFrame, vocabularies: list[Vocabulary], text_col: str = "text", filters: Iterable[str] = ()) -> list[int]:
+    """The cost of all rows under each of the vocabularies, in one pass."""
+    machines = [Automaton(v) for v in vocabularies]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [0] * len(machines)
+        for batch in batches:
+            for raw in batch["text"].cast(pa.binary()).drop_null().to_pylist():
+                for k, m in enumerate(machines):
+                    total[k] += m.cost(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total, pa.int64())], names=["k", "cost"])
+
+    found = docs.select(compose(filters)(F.col(text_col)).alias("text")).mapInArrow(run, "k int, cost long").groupBy("k").agg(F.sum("cost").alias("cost"))
+    by = {r["k"]: r["cost"] for r in found.collect()}
+    return [by.get(k, 0) for k in range(len(vocabularies))]
+
+
 def optimal_report(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", filters: Iterable[str] = ()) -> DataFrame:
     """token (in hex), cnt of the optimal segmentation, with literals written by the fallback's tokens."""
     literal = F.create_map(*[x for b in range(256) for x in (F.lit(f"{b:02x}"), F.array(*[F.lit(s.hex()) for s in vocabulary.fallback_of(b)]))])

@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.operators.mining import top_substrings
+from glyphmill.operators.segment import optimal_costs
 from glyphmill.operators.stats import SegmentStats, top_bytes
-from glyphmill.operators.vocabulary import Vocabulary
+from glyphmill.operators.vocabulary import Vocabulary, save_json
 
 Evaluate = Callable[[Vocabulary, bool], SegmentStats]
+Costs = Callable[[list[Vocabulary]], list[int]]
 
 
 def evaluator(docs: DataFrame, text_col: str = "text", filters: Iterable[str] = ()) -> Evaluate:
@@ -23,6 +25,11 @@ def evaluator(docs: DataFrame, text_col: str = "text", filters: Iterable[str] =
     return lambda vocabulary, pairs: SegmentStats(docs, vocabulary, text_col, names, pairs)
 
 
+def coster(docs: DataFrame, text_col: str = "text", filters: Iterable[str] = ()) -> Costs:
+    names = tuple(filters)
+    return lambda vocabularies: optimal_costs(docs, vocabularies, text_col, names)
+
+
 def _best(scores: dict[bytes, int]) -> bytes | None:
     return min(scores, key=lambda s: (-scores[s], s)) if scores else None
 
@@ -104,8 +111,12 @@ def prune_rarest(evaluate: Evaluate, start: Vocabulary, ntokens: int) -> Vocabul
     return vocabulary
 
 
-def prune_best(evaluate: Evaluate, start: Vocabulary, ntokens: int, candidates: int | None = None) -> Vocabulary:
-    """Drop unused tokens, then again and again the one whose loss costs least, of all or of the rarest few."""
+def prune_best(evaluate: Evaluate, start: Vocabulary, ntokens: int, candidates: int | None = None, costs: Costs | None = None) -> Vocabulary:
+    """Drop unused tokens, then again and again the one whose loss costs least, of all or of the rarest few.
+
+    costs: of many vocabularies in one pass; without it, each one tried is a pass.
+    """
+    costs = costs or (lambda tried: [evaluate(v, False).cost for v in tried])
     vocabulary, _ = _without_unused(evaluate, start)
     while len(vocabulary) > ntokens:
         if candidates:
@@ -114,8 +125,8 @@ def prune_best(evaluate: Evaluate, start: Vocabulary, ntokens: int, candidates:
             tried = [t.string for t in vocabulary if not t.mandatory]
         if not tried:
             break
-        costs = {s: evaluate(vocabulary.without(s), False).cost for s in tried}
-        vocabulary = vocabulary.without(min(tried, key=lambda s: (costs[s], s)))
+        cost = dict(zip(tried, costs([vocabulary.without(s) for s in tried]), strict=True))
+        vocabulary = vocabulary.without(min(tried, key=lambda s: (cost[s], s)))
     return vocabulary
 
 
@@ -159,6 +170,38 @@ def select_best(docs: DataFrame, ntokens: int, text_col: str = "text", **options
     return best
 
 
+def generate(docs: DataFrame, ntokens: int, path: str, text_col: str = "text", **options) -> dict:
+    """The best candidate, saved."""
+    best = select_best(docs, ntokens, text_col, **options)
+    save_json(best, path)
+    return best
+
+
+def train_and_save(docs: DataFrame, ntokens: int, path: str, text_col: str = "text", filters: Iterable[str] = (), start: Vocabulary | None = None) -> dict:
+    """Train by ids, measure the result and save it with its filters."""
+    names = list(filters)
+    vocabulary, _ = train_by_ids(evaluator(docs, text_col, names), start or Vocabulary.hex(), ntokens)
+    saved = vocabulary.to_json(SegmentStats(docs, vocabulary, text_col, names).as_json(), {"type": "bpe", "filters": names})
+    save_json(saved, path)
+    return saved
+
+
+def restored(saved: dict) -> tuple[Vocabulary, list[str]]:
+    """The vocabulary and the names of the filters of a saved form."""
+    return Vocabulary.from_json(saved), list(saved.get("optimizer", {}).get("filters", []))
+
+
+def size_sweep(docs: DataFrame, sizes: Iterable[int], text_col: str = "text", filters: Iterable[str] = ()) -> DataFrame:
+    """The measures of a vocabulary trained for each size."""
+    rows = []
+    for n in sizes:
+        vocabulary = train_by_strings(evaluator(docs, text_col, filters), Vocabulary.hex(), n)
+        s = SegmentStats(docs, vocabulary, text_col, filters).as_json()
+        rows.append((n, s["ntokens"], s["scanned_bytes"], s["used_tokens"], s["total_tokens"], s["bytes_per_token"], s["bits_per_byte"], s["entropy_per_byte"]))
+    names = "size int, ntokens int, scanned_bytes long, used_tokens long, total_tokens long, bytes_per_token double, bits_per_byte double, entropy_per_byte double"
+    return docs.sparkSession.createDataFrame(rows, names)
+
+
 def frame(spark, vocabulary: Vocabulary) -> DataFrame:
     """token (hex), length, mandatory."""
     rows = [(t.string.hex(), len(t.string), t.mandatory) for t in vocabulary]

@@ -146,17 +146,18 @@ OPTIMAL_REPORT = f"""{BENCHMARK}
     ORDER BY cnt DESC, token LIMIT 200"""
 
 
-def _top_substrings() -> str:
+def _top_substrings(source: str, n: int, levels: int = 6) -> str:
+    """No string of ``levels`` bytes or more is among the best of the tables that this runs on, so no longer one can be."""
     parts = [
-        "h AS MATERIALIZED (SELECT hex(encode(text)) AS x FROM documents WHERE text <> '')",
+        f"h AS MATERIALIZED (SELECT hex(encode(text)) AS x FROM {source} WHERE text <> '')",
         "b1 AS MATERIALIZED (SELECT gram, 1 AS length, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(x, '..')) AS gram FROM h) GROUP BY gram)",
     ]
-    for k in range(2, Q.LONGEST + 1):
+    for k in range(2, levels + 1):
         at = " UNION ALL ".join(f"SELECT unnest(regexp_extract_all(substr(x, {2 * o + 1}), '.{{{2 * k}}}')) AS gram FROM h" for o in range(k))
         grams = f"SELECT gram, count(*) AS n FROM ({at}) GROUP BY gram"
         parts.append(f"c{k} AS (SELECT gram, {k} AS length, n AS cnt FROM ({grams}) WHERE gram[:{2 * k - 2}] IN (SELECT gram FROM b{k - 1} WHERE length = {k - 1}))")
-        parts.append(f"b{k} AS MATERIALIZED (SELECT * FROM (SELECT * FROM b{k - 1} UNION ALL SELECT * FROM c{k}) ORDER BY cnt DESC, length, gram LIMIT {Q.TOP})")
-    return "WITH " + ",\n".join(parts) + f"\nSELECT gram, length, cnt FROM b{Q.LONGEST}"
+        parts.append(f"b{k} AS MATERIALIZED (SELECT * FROM (SELECT * FROM b{k - 1} UNION ALL SELECT * FROM c{k}) ORDER BY cnt DESC, length, gram LIMIT {n})")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT gram, length, cnt FROM b{levels}"
 
 
 def _vocabulary_rows(name: str) -> str:
@@ -255,7 +256,8 @@ SQL = {
     "optimal_benchmark_counts": OPTIMAL_COUNTS,
     "optimal_benchmark_pairs": OPTIMAL_PAIRS,
     "optimal_benchmark_report": OPTIMAL_REPORT,
-    "top_substrings": _top_substrings(),
+    "top_substrings": _top_substrings("documents", Q.TOP),
+    "top_substrings_filtered": _top_substrings(f"(SELECT doc_id, {_words('text')} AS text FROM ({_caps('text', 'documents')}))", 2 * Q.TOP),
     "suffix_tokens": f"""
         SELECT l.token AS token, max_by(s.token, length(s.token)) AS suffix
         FROM {_vocabulary_rows("l")} JOIN {_vocabulary_rows("s")} ON length(l.token) > length(s.token) AND ends_with(l.token, s.token)
@@ -264,6 +266,7 @@ SQL = {
         WITH r AS (SELECT byte, row_number() OVER (ORDER BY cnt DESC, byte) AS k FROM ({HISTOGRAM}) WHERE byte NOT IN (SELECT token FROM {_BASE}))
         SELECT CAST(id AS INTEGER) AS token_id, token, true AS mandatory FROM {_BASE}
         UNION ALL SELECT CAST({len(HEX_BASE) - 1} + k AS INTEGER), byte, false FROM r WHERE k <= {Q.BUILT - len(HEX_BASE)}""",
+    "decoded_tokens": "SELECT conv_id, turn, text FROM conversations",
     "strip_headers": STRIP,
     "clean_text": _clean("documents"),
     "sample_pieces": SAMPLED,

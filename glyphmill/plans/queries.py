@@ -17,7 +17,7 @@ STRINGS = [
 ]
 HEX = Vocabulary.hex(s.encode() for s in STRINGS)
 BITS = Vocabulary.bits(s.encode() for s in STRINGS)
-TOP, LONGEST, TRAINED, BUILT = 40, 4, 22, 28
+TOP, TRAINED, BUILT = 40, 22, 28
 
 
 def _docs(spark: SparkSession, d: str, table: str = "documents") -> DataFrame:
@@ -121,11 +121,11 @@ def optimal_benchmark_report(spark, d):
 
 
 def top_substrings(spark, d):
-    found = mining.top_substrings(_docs(spark, d), TOP, longest=LONGEST)
+    found = mining.top_substrings(_docs(spark, d), TOP)
     return spark.createDataFrame([(s.hex().upper(), len(s), n) for s, n in found], "gram string, length int, cnt long")
 
 
-def top_substrings_any_length(spark, d):
+def top_substrings_filtered(spark, d):
     found = mining.top_substrings(_docs(spark, d), 2 * TOP, filters=("caps", "words"))
     return spark.createDataFrame([(s.hex().upper(), len(s), n) for s, n in found], "gram string, length int, cnt long")
 
@@ -140,8 +140,8 @@ def vocab_build_top(spark, d):
     return spark.createDataFrame([(i, t.string.hex().upper(), t.mandatory) for i, t in enumerate(v)], "token_id int, token string, mandatory boolean")
 
 
-def _trained(spark, d, how):
-    docs = _docs(spark, d, "benchmark").select("text").coalesce(1)  # a table of a fixed few hundred rows at any scale
+def _trained(spark, d, how, table="documents"):
+    docs = _docs(spark, d, table).select("text")
     return train.frame(spark, how(train.evaluator(docs), docs))
 
 
@@ -158,7 +158,7 @@ def prune_simple(spark, d):
 
 
 def prune_best(spark, d):
-    return _trained(spark, d, lambda e, _: train.prune_best(e, HEX, len(HEX) - 4, candidates=3))
+    return _trained(spark, d, lambda e, docs: train.prune_best(e, HEX, len(HEX) - 4, costs=train.coster(docs)), "benchmark")
 
 
 def substring_vocabulary(spark, d):
@@ -166,11 +166,19 @@ def substring_vocabulary(spark, d):
 
 
 def select_best_strategy(spark, d):
-    docs = _docs(spark, d, "benchmark").select("text").coalesce(1)
-    best = train.select_best(docs, 8)
+    best = train.select_best(_docs(spark, d, "benchmark").select("text"), 8)
     return train.frame(spark, Vocabulary.from_json(best))
 
 
+def size_sweep(spark, d):
+    return train.size_sweep(_docs(spark, d, "benchmark").select("text"), (17, 19, 21))
+
+
+def decoded_tokens(spark, d):
+    tokens = segment.optimal(F.col("text"), BITS)
+    return _docs(spark, d, "conversations").select("conv_id", "turn", segment.decode(tokens).alias("text"))
+
+
 def strip_headers(spark, d):
     return clean.strip_headers(_docs(spark, d))
 
@@ -228,7 +236,7 @@ QUERIES = {
     "optimal_benchmark_pairs": optimal_benchmark_pairs,
     "optimal_benchmark_report": optimal_benchmark_report,
     "top_substrings": top_substrings,
-    "top_substrings_any_length": top_substrings_any_length,
+    "top_substrings_filtered": top_substrings_filtered,
     "suffix_tokens": suffix_tokens,
     "vocab_build_top": vocab_build_top,
     "bpe_train": bpe_train,
@@ -237,6 +245,8 @@ QUERIES = {
     "prune_best": prune_best,
     "substring_vocabulary": substring_vocabulary,
     "select_best_strategy": select_best_strategy,
+    "size_sweep": size_sweep,
+    "decoded_tokens": decoded_tokens,
     "strip_headers": strip_headers,
     "clean_text": clean_text,
     "merge_fragments": merge_fragments,

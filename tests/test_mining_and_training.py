@@ -3,7 +3,7 @@ from collections import Counter
 
 from glyphmill.operators import mining, train
 from glyphmill.operators.segment import Automaton
-from glyphmill.operators.vocabulary import Vocabulary
+from glyphmill.operators.vocabulary import Vocabulary, load_json
 
 
 def corpus():
@@ -67,6 +67,97 @@ def test_training_on_spark_equals_a_local_run(spark):
         lambda e: train.prune_best(e, start, 19),
     ):
         assert names(how(far)) == names(how(near))
+    assert names(train.prune_best(far, start, 19, costs=train.coster(df))) == names(train.prune_best(near, start, 19))
+
+
+def plain_strings(texts, tokens, n):
+    """tokens: bytes, the base first. Add the best joined string; past n, drop the first that is worth it, rarest first."""
+    base, tokens = set(tokens), list(tokens)
+    of = lambda ts: Plain(texts, Vocabulary.hex(t for t in ts if t not in base))
+    while True:
+        now = of(tokens)
+        gain = Counter({b: 2 * c for b, c in now.literals.items()})
+        for (a, b), c in now.pairs.items():
+            if a in tokens and b in tokens:
+                gain[a + b] += c
+        for t in tokens:
+            gain.pop(t, None)
+        if not gain:
+            return tokens
+        most = max(gain.values())
+        new = min(s for s, c in gain.items() if c == most)
+        more = [*tokens, new]
+        if len(more) > n:
+            count = of(more).expanded()
+            for s in sorted((s for s in more if s not in base and s != new), key=lambda s: (count[s], s)):
+                if of([t for t in more if t != s]).cost < now.cost:
+                    more.remove(s)
+                    break
+            else:
+                return tokens
+        tokens = more
+
+
+def plain_ids(texts, tokens, n):
+    """The most frequent pair, or the most frequent literal if it is more frequent; the new token may go again."""
+    base, tokens = set(tokens), list(tokens)
+    of = lambda ts: Plain(texts, Vocabulary.hex(t for t in ts if t not in base))
+    while True:
+        now = of(tokens)
+        pairs = sorted(now.pairs.items(), key=lambda x: (-x[1], x[0]))
+        literals = sorted(now.literals.items(), key=lambda x: (-x[1], x[0]))
+        if not pairs and not literals:
+            return tokens
+        new = literals[0][0] if literals and literals[0][1] > (pairs[0][1] if pairs else 0) else b"".join(pairs[0][0])
+        if new in tokens:
+            return tokens
+        more = [*tokens, new]
+        if len(more) > n:
+            count = of(more).tokens
+            for s in sorted((s for s in more if s not in base), key=lambda s: (count[s], s)):
+                if of([t for t in more if t != s]).cost < now.cost:
+                    more.remove(s)
+                    break
+            else:
+                return tokens
+        tokens = more
+
+
+def plain_prune(texts, tokens, base, n, best):
+    of = lambda ts: Plain(texts, Vocabulary.hex(t for t in ts if t not in base))
+    used = of(tokens).expanded()
+    tokens = [t for t in tokens if t in base or used[t]]
+    while len(tokens) > n and (free := sorted(t for t in tokens if t not in base)):
+        count = of(tokens).expanded()
+        worth = {s: of([t for t in tokens if t != s]).cost if best else count[s] for s in free}
+        tokens.remove(min(free, key=lambda s: (worth[s], s)))
+    return tokens
+
+
+def test_training_follows_its_rules():
+    texts = corpus()
+    near = lambda v, pairs: Plain(texts, v)
+    names = lambda v: [t.string for t in v]
+    base = names(Vocabulary.hex())
+    for n in (19, 24):
+        assert names(train.train_by_strings(near, Vocabulary.hex(), n)) == plain_strings(texts, base, n)
+        assert names(train.train_by_ids(near, Vocabulary.hex(), n)[0]) == plain_ids(texts, base, n)
+    start = Vocabulary.hex([b"the", b"en", b"zz", b"qq", b" ", b"th", b"on"])
+    for n in (18, 20):
+        assert names(train.prune_rarest(near, start, n)) == plain_prune(texts, names(start), set(base), n, False)
+        assert names(train.prune_best(near, start, n)) == plain_prune(texts, names(start), set(base), n, True)
+
+
+def test_saved_vocabularies(spark, tmp_path):
+    df = spark.createDataFrame([(t,) for t in corpus()], "text string").coalesce(1).cache()
+    saved = train.train_and_save(df, 20, str(tmp_path / "v.json"), filters=("caps",))
+    again = load_json(str(tmp_path / "v.json"))
+    assert again == saved and saved["stats"]["ntokens"] == len(saved["tokens"]) <= 20
+    vocabulary, names = train.restored(again)
+    assert names == ["caps"] and sorted(t.string for t in vocabulary) == sorted(t.encode() if isinstance(t, str) else bytes(t) for t in saved["tokens"])
+    assert train.generate(df, 6, str(tmp_path / "g.json"), filter_sets=((),)) == load_json(str(tmp_path / "g.json"))
+    rows = train.size_sweep(df, (17, 20)).collect()
+    assert [r["size"] for r in rows] == [17, 20] and rows[0].total_tokens >= rows[1].total_tokens
 
 
 def test_training_lowers_cost():

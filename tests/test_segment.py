@@ -118,3 +118,12 @@ def test_pretty_json():
 
     assert json.loads(wide) == {"tokens": ["x" * 30, "y" * 30, "z" * 30], "n": 1}
     assert not re.search(r",\n\s*[}\]]", wide)
+
+
+def test_tokens_decode_to_their_bytes():
+    rng = random.Random(9)
+    for base in (Vocabulary.hex, Vocabulary.bits):
+        m = Automaton(base([b"the", b"e", "é".encode()]))
+        for _ in range(100):
+            data = "".join(rng.choice("the é0fz") for _ in range(rng.randint(0, 30))).encode()
+            assert segment.decoded(m.string(i) for i in m.expand(m.ids(data))) == data

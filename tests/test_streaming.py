@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.operators.segment import Automaton
 from glyphmill.operators.vocabulary import Vocabulary
-from glyphmill.streaming.segment import Incremental, segment_stream
+from glyphmill.streaming.segment import Incremental, Key, segment_stream
 
 V = Vocabulary.hex(s.encode() for s in ["x", "xy", "yz", "xyztu", "zt", "uv", " ", "the", "he "])
 
@@ -23,6 +23,28 @@ def test_incremental_equals_whole():
         assert len(work.cost) <= 60
 
 
+def test_pieces_in_any_order_and_several_texts():
+    rng = random.Random(4)
+    m = Automaton(V)
+    for _ in range(100):
+        texts = ["".join(rng.choice("xyztuv the") for _ in range(rng.randint(0, 30))) for _ in range(3)]
+        pieces = []
+        for text in texts:
+            cuts = sorted(rng.randint(0, len(text)) for _ in range(rng.randint(0, 4)))
+            parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+            pieces += [(len(pieces) + k, x, k == len(parts) - 1) for k, x in enumerate(parts)]
+        pieces += rng.sample(pieces, 2)  # some come twice
+        rng.shuffle(pieces)
+        saved, got = None, []
+        while pieces:
+            state = Key(m, saved)
+            n = rng.randint(1, 4)
+            got += state.take(pieces[:n])
+            pieces, saved = pieces[n:], state.dumps()
+        assert got == [m.string(i) for text in texts for i in m.expand(m.ids(text.encode()))]
+        assert not Key(m, saved).early
+
+
 def test_stream(spark, tmp_path):
     texts = {"a": "xyztuv the xyz the", "b": "the he xyzxyz"}
     rows = []
