@@ -30,7 +30,38 @@ def test_quality(spark):
     assert Q.quality_scores(d.limit(0), model).collect() == []
 
 
-def test_top_k(spark):
+def test_quality_scores_are_those_of_a_plain_forward_pass(monkeypatch):
+    """Each feature by itself: words, their n-grams, pairs of neighbours; averaged; a softmax of two labels."""
+    import zlib
+
+    rng = np.random.default_rng(2)
+    model = Q.Model(rng.normal(0, 1, Q.BUCKETS).astype(np.float32), 0.3)
+
+    def gram(g):
+        return (int.from_bytes(g, "little") + (len(g) << 56)) * 0x9E3779B97F4A7C15 % 2**64 >> 64 - Q.BITS
+
+    def plain(text):
+        words, f = text.split(), []
+        for w in words:
+            f.append(zlib.crc32(w) % Q.BUCKETS)
+            b = b"<" + w + b">"
+            f += [gram(b[i : i + k]) for k in (3, 4, 5) for i in range(len(b) - k + 1) if k < len(b)]
+        f += [((zlib.crc32(a) ^ zlib.crc32(b)) * 0x9E3779B1 % 2**64 >> 9) % Q.BUCKETS for a, b in zip(words, words[1:])]
+        z = 0.3 + (np.mean([float(model.weight[x]) for x in f]) if f else 0)
+        return f, 1 / (1 + np.exp(-z))
+
+    texts = [b"", b"a", b"one two two  three", "né à".encode(), b"x " * 50, b" ".join(b"w%d" % i for i in range(300)), b"one two"]
+    for most in (Q.WORDS, 40, 301):  # few words remembered: forgotten and learned again, texts in parts
+        monkeypatch.setattr(Q, "WORDS", most)
+        model._forget()
+        for t in texts * 2:
+            f, want = plain(t)
+            assert abs(model.score(t) - want) < 1e-6
+            ids, counts = Q.document_features(t)
+            assert dict(zip(ids.tolist(), counts.tolist())) == {x: f.count(x) for x in f}
+
+
+def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 4]) for i in range(300)]
     rows += [(300, None), (350, [float("nan")] * 6), (400, []), (None, [1.0] * 6), (301, [None] + [1.0] * 5), (302, [float("inf")] * 6), (450, [0.5, 0.25]), (451, [0.1, 0.2]), (10, rows[10][1])]
@@ -45,6 +76,23 @@ def test_top_k(spark):
     got = [tuple(r) for r in K.top_k(df, block=16).collect()]
     assert sorted(got) == sorted(want) and len([w for w in want if w[0] == 450]) == 1
     assert K.top_k(df.limit(0)).collect() == []
+    monkeypatch.setattr(K, "QUERY_BATCH", 3)  # many batches
+    monkeypatch.setattr(K, "HELD", 2)
+    assert sorted(tuple(r) for r in K.top_k(df, block=16).collect()) == sorted(want)
+
+
+def test_blocks_are_skipped_where_vectors_gather():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 200, (40, 16))
+    rows = np.floor(np.repeat(centres, 100, 0) + rng.normal(0, 8, (4000, 16))).astype(np.int64)
+    blocks = [(np.arange(a, a + 50), rows[a : a + 50], rows[a : a + 50].max(0), rows[a : a + 50].min(0)) for a in range(0, 4000, 50)]
+    ids = np.arange(0, 4000, 50)
+    best = K._Best(len(ids), 5)
+    scored = sum(K.search(best, ids, rows[ids], blocks[at : at + 20]) for at in range(0, len(blocks), 20))
+    assert scored < 0.2 * len(ids) * len(rows)
+    for n, i in enumerate(ids):
+        want = sorted((-int(rows[i] @ rows[j]), j) for j in range(4000) if j != i)[:5]
+        assert [(-s, j) for s, j in zip(best.score[n], best.id[n])] == want
 
 
 ARTICLE = "<article><h1>T &amp; {i}</h1><p>one <b>two\n three</b><p>same line<br><ul><li>x<li>y</ul><div class='comments'>bad</div></article>"
