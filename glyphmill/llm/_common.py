@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import re
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -23,9 +25,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none (tests)."""
+    """The folder that all executors share; one of our own only where the session names none and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or "file:/tmp/checkpoints").rstrip("/")
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (found or f"file:{tempfile.gettempdir()}/glyphmill").rstrip("/")
 
 
 class Workspace:
@@ -92,3 +96,37 @@ def slot(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+HOT_PARTS, HOT_LEAST, SALT = 1000, 64, 16  # a key of more than 1 / HOT_PARTS of all rows is hot, but for keys of few rows
+
+
+def hot_keys(counts: DataFrame, on: list[str], n: str, total: int) -> list[int]:
+    """Hashes of the counted keys that have more than 1 / HOT_PARTS of all rows: at most HOT_PARTS numbers."""
+    found = counts.where(F.col(n) > max(HOT_LEAST, total // HOT_PARTS)).select(F.xxhash64(*on).alias("h")).distinct().collect()
+    return [r["h"] for r in found]
+
+
+def _is_hot(on: list[str], hot: list[int]) -> Column:
+    return F.expr(f"xxhash64({', '.join(on)}) in ({', '.join(f'{h}L' if h > -(2**63) else 'bigint(-9223372036854775808)' for h in hot)})")
+
+
+def join_hot(many: DataFrame, few: DataFrame, on: list[str], hot: list[int], how: str = "inner") -> DataFrame:
+    """many.join(few, on, how), with no task that gets all rows of a hot key: those meet a broadcast of their few rows.
+
+    hot: as of ``hot_keys``; ``few`` has a bounded number of rows of bounded size for each key.
+    """
+    if not hot:
+        return many.join(few, on, how)
+    held = _is_hot(on, hot)
+    return many.where(held).join(F.broadcast(few.where(held)), on, how).unionByName(many.where(~held).join(few.where(~held), on, how))
+
+
+def join_salted(many: DataFrame, few: DataFrame, on: list[str], hot: list[int], by: str) -> DataFrame:
+    """many.join(few, on), where rows of a hot key are dealt to SALT tasks by another column; few's rows may be of any size."""
+    if not hot:
+        return many.join(few, on)
+    held = _is_hot(on, hot)
+    left = many.withColumn("_salt", F.when(held, F.pmod(F.xxhash64(by), F.lit(SALT))).otherwise(0).cast("int"))
+    right = few.withColumn("_salt", F.explode(F.when(held, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*on, "_salt"]).drop("_salt")

@@ -11,9 +11,11 @@
    distinct within a chunk meets again under longer common cores (cells of the anchor's offset, finer in
    each round; the last are the windows themselves), so no group is ever gathered in one task.
 5. Covered ranges go back to the texts by a join on the text's hash; equal texts have equal ranges.
+Equal pieces are told by 128 bits of a digest, and equal texts likewise; windows are compared byte by byte.
 
-Scale: shuffled are one number for each anchor and the pieces of repeated anchors, then the texts once to
-meet their ranges. The bit map has 16 bits for each repeated anchor and at most ``2 ** MOST_BITS`` bits;
+Scale: shuffled are one number for each anchor and the pieces of repeated anchors, then the texts of ``width`` bytes
+or more once to meet their ranges. Rows of a hot anchor, piece or text (see ``join_hot``) stay where they are and meet a
+broadcast of its few rows. The bit map has 16 bits for each repeated anchor and at most ``2 ** MOST_BITS`` bits;
 beyond that more pieces of unrepeated anchors are shuffled, with the same result.
 
 Defined cases: a null text has no bytes; texts shorter than ``width`` keep all; every copy of a repeated row
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm._common import Workspace, slot, texts
+from glyphmill.llm._common import Workspace, hot_keys, join_hot, slot, texts
 from glyphmill.llm.suffix_array import suffix_array
 
 WIDTH, GRAM = 200, 32
@@ -309,42 +312,47 @@ def _sort_round(rows: DataFrame, cell: int | None, width: int) -> DataFrame:
     return rows.mapInArrow(run, ROUND)
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """With parts and salt by the size of the key's group; keys of one row are left out; sorted by key and salt."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    rows = rows.join(sizes, "key").withColumn("parts", F.ceil(F.col("m") / PIECES).cast("int"))
+def _dealt(rows: DataFrame, work: Workspace) -> DataFrame:
+    """rows (written), with parts and salt by the size of the key's group; keys of one row are left out; sorted by key
+    and salt."""
+    sizes = work.cut(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+    hot = hot_keys(sizes, ["key"], "m", rows.count())
+    rows = join_hot(rows, sizes, ["key"], hot).withColumn("parts", F.ceil(F.col("m") / PIECES).cast("int"))
     rows = rows.withColumn("salt", F.pmod("d1", "parts").cast("int")).drop("m")
     return rows.repartition("key", "salt").sortWithinPartitions("key", "salt")
 
 
-def _covered(docs: DataFrame, width: int, work: Workspace) -> DataFrame:
-    """docs (k1, k2, text) -> k1, k2, spans (start, end): ranges of repeated windows."""
+def _covered(docs: DataFrame, width: int, work: Workspace) -> tuple[DataFrame, list[int]]:
+    """docs (k1, k2, text) -> k1, k2, spans (start, end): ranges of repeated windows; and the hot texts."""
     pieces = work.cut(_pieces(docs, _repeated(docs, width, work), width))
     kinds = work.cut(
         pieces.groupBy("h", "d1", "d2").agg(F.count("*").alias("n"), F.first("a").alias("a"), F.first("piece").alias("piece"))
-        .select("h", "d1", "d2", "a", "piece", (F.col("n") > 1).alias("whole"), F.lit(0).alias("r0"), (F.length("piece") - width + 1).alias("r1"))
+        .select("h", "d1", "d2", "a", "piece", "n", (F.col("n") > 1).alias("whole"), F.lit(0).alias("r0"), (F.length("piece") - width + 1).alias("r1"))
     )
     found = [kinds.where("whole").select("d1", "d2", "r0", "r1")]
-    rows = kinds.withColumn("key", F.col("h"))
+    rows, done = kinds.drop("n").withColumn("key", F.col("h")), []
     for cell in (*CELLS, None):
-        if cell is None:  # the keys are single windows: equal keys are repeats
-            again = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-            found.append(rows.where("not whole").join(again, "key").select("d1", "d2", "r0", "r1"))
+        if cell is None:  # single windows: equal ones are repeats
+            one = rows.withColumn("window", F.substring("piece", F.col("r0") + 1, F.lit(width)))
+            again = one.groupBy("key", "window").agg(F.count("*").alias("m")).where("m > 1").drop("m")
+            found.append(one.where("not whole").join(again, ["key", "window"]).select("d1", "d2", "r0", "r1"))
             break
-        done = work.cut(_sort_round(_dealt(rows), cell, width))
-        found.append(done.where("kind = 0").select("d1", "d2", "r0", "r1"))
-        rows = done.where("kind = 1").select("key", "h", "d1", "d2", "a", "piece", "whole", "r0", "r1")
+        done.append(work.cut(_sort_round(_dealt(rows, work), cell, width)))
+        found.append(done[-1].where("kind = 0").select("d1", "d2", "r0", "r1"))
+        rows = done[-1].where("kind = 1").select("key", "h", "d1", "d2", "a", "piece", "whole", "r0", "r1")
         if rows.isEmpty():
             break
-    ranges = found[0]
-    for x in found[1:]:
-        ranges = ranges.union(x)
-    where = pieces.select("d1", "d2", "k1", "k2", "lo")
-    return (
-        where.join(ranges, ["d1", "d2"])
-        .groupBy("k1", "k2")
+    ranges = work.cut(reduce(DataFrame.union, found))
+    hot = hot_keys(kinds.groupBy("d1", "d2").agg(F.sum("n").alias("n")), ["d1", "d2"], "n", pieces.count())
+    places = join_hot(pieces.select("d1", "d2", "k1", "k2", "lo"), ranges, ["d1", "d2"], hot)
+    spans = work.cut(
+        places.groupBy("k1", "k2")
         .agg(F.collect_set(F.struct((F.col("lo") + F.col("r0")).alias("start"), (F.col("lo") + F.col("r1") - 1 + width).alias("end"))).alias("spans"))
-    )
+    )
+    copies = pieces.groupBy("k1", "k2", "lo").agg(F.count("*").alias("n")).groupBy("k1", "k2").agg(F.max("n").alias("n"))
+    often = hot_keys(copies, ["k1", "k2"], "n", docs.count())
+    work.drop(pieces, kinds, ranges, *done)
+    return spans, often
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -361,7 +369,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 [, kept binary]."""
     work = Workspace(docs.sparkSession)
     keyed = slot(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
-    spans = work.cut(_covered(keyed.select("k1", "k2", "text"), width, work))
+    spans, often = _covered(keyed.select("k1", "k2", "text"), width, work)
     kind = keyed.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
 
@@ -384,7 +392,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(rest, pa.binary())] * keep_text, names=names + ["kept"] * keep_text)
 
-    return keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(cut, schema)
+    long = F.coalesce(F.octet_length("text"), F.lit(0)) >= width  # shorter texts keep all and are not shuffled
+    met = join_hot(keyed.where(long), spans, ["k1", "k2"], often, "left").select("doc_id", "text", "spans")
+    short = keyed.where(~long).select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return met.union(short).mapInArrow(cut, schema)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -40,3 +40,21 @@ c AS (SELECT id, min(least_id) AS component_id FROM reach GROUP BY id)
 SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
 FROM d LEFT JOIN n ON n.r = d.r JOIN c ON c.id = d.doc_id
 """
+
+OP3_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS MATERIALIZED (
+  SELECT r, i, md5_number(substr(h, 2 * i + 1, 400)) AS k
+  FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),
+s AS (SELECT r, i FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+f AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 200, true) AS new FROM s),
+g AS (SELECT r, i, sum(new::INT) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM f),
+u AS (SELECT r, run, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, run),
+v AS (SELECT u.*, coalesce(lag(b) OVER (PARTITION BY u.r ORDER BY a), 0) AS before FROM u),
+t AS (
+  SELECT v.r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+  FROM v JOIN d ON d.r = v.r GROUP BY v.r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t ON d.r = t.r
+"""

@@ -13,7 +13,7 @@ from glyphmill.llm.extract import op5_extract
 from glyphmill.llm.langid import op6_langid
 from glyphmill.llm.lm import op8_lm
 from glyphmill.llm.near_dedup import op4_minhash
-from glyphmill.llm.oracle import OP2_SQL, OP4_SQL
+from glyphmill.llm.oracle import OP2_SQL, OP3_SQL, OP4_SQL
 from glyphmill.llm.pack import op1_pack
 from glyphmill.llm.quality import op10_quality
 from glyphmill.llm.secrets import op7_secrets
@@ -37,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2_SQL, "op4_minhash": OP4_SQL, "op9_topk": OP9_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_decontaminate": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op4_minhash": OP4_SQL, "op9_topk": OP9_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
