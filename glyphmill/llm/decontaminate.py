@@ -7,10 +7,11 @@ end of a pattern at which the block occurs, or m - 1 where it occurs in none. A
 shift; only blocks with shift 0 open a bucket of patterns that end so, and each is compared directly.
 
 Scale: one scan of the documents without a shuffle. The compiled patterns are broadcast in chunks of
-at most ``max_windows`` windows; a larger benchmark makes more map steps in the same stage, each with
-its own chunk, so no executor's table grows with the benchmark.
+at most ``max_windows`` windows; a larger benchmark makes one scan for each chunk, with what it found written
+and its broadcast gone before the next one's, so no executor's table grows with the benchmark.
 
-Defined cases: a null or wordless text has no words, hits and items; items without words have no
+Defined cases: ids may be of any type; very long texts are read whole;
+a null or wordless text has no words, hits and items; items without words have no
 windows; items with equal windows all count; repeated item ids count once; a repeated document row
 gives a repeated result row; an empty benchmark contaminates nothing.
 """
@@ -23,9 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from glyphmill.llm._common import each_text, slot
+from glyphmill.llm._common import Workspace, each_text, slot
 
 WINDOW = 8
 MAX_WINDOWS = 500_000  # of one broadcast chunk, about 100 MB compiled
@@ -92,17 +92,6 @@ class WuManber:
         return n, found
 
 
-STATE = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("n_words", T.LongType()),
-        T.StructField("spans", T.ArrayType(T.LongType())),
-        T.StructField("items", T.ArrayType(T.StringType())),
-    ]
-)
-
-
 def _union(spans: list[int]) -> list[int]:
     """Flat (start, end) pairs as flat disjoint pairs in order."""
     out: list[int] = []
@@ -115,7 +104,7 @@ def _union(spans: list[int]) -> list[int]:
 
 
 def _chunks(benchmark: DataFrame, id_col: str, text_col: str, max_windows: int) -> Iterator[WuManber]:
-    """Compiled chunks; the driver holds one chunk's texts at a time."""
+    """Compiled chunks; the driver holds two of them at a time."""
     part, n = [], 0
     for item_id, text in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
         raw = (text or "").encode()
@@ -128,6 +117,15 @@ def _chunks(benchmark: DataFrame, id_col: str, text_col: str, max_windows: int)
         yield WuManber(part)
 
 
+def _with_last(items: Iterator) -> Iterator[tuple]:
+    """Each item, and whether it is the last."""
+    before = next(items, None)
+    while before is not None:
+        after = next(items, None)
+        yield before, after is None
+        before = after
+
+
 def find_windows(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -138,16 +136,17 @@ def find_windows(
     max_windows: int = MAX_WINDOWS,
 ) -> DataFrame:
     """doc_id, text, n_words, spans (flat disjoint word ranges hit), items (ids, sorted as strings)."""
-    spark = docs.sparkSession
+    work = Workspace(docs.sparkSession)
     state = slot(docs, id_col, text_col).select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        "doc_id",
         "text",
         F.lit(0).cast("long").alias("n_words"),
         F.array().cast("array<bigint>").alias("spans"),
         F.array().cast("array<string>").alias("items"),
     )
-    for machine in _chunks(benchmark, item_col, item_text_col, max_windows):
-        shared = spark.sparkContext.broadcast(machine)
+    schema = state.schema
+    for machine, last in _with_last(_chunks(benchmark, item_col, item_text_col, max_windows)):
+        shared = docs.sparkSession.sparkContext.broadcast(machine)
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             search = shared.value.search
@@ -177,7 +176,10 @@ def find_windows(
                     names=["doc_id", "text", "n_words", "spans", "items"],
                 )
 
-        state = state.mapInArrow(scan, STATE)
+        state = state.mapInArrow(scan, schema)
+        if not last:
+            state = work.cut(state)
+            shared.destroy()
     return state
 
 
@@ -197,10 +199,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, **c
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, min_items: int = 1, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The documents, all columns, in which windows of fewer than ``min_items`` items occur."""
-    for machine in _chunks(benchmark, item_col, item_text_col, max_windows):
+    work = Workspace(docs.sparkSession)
+    for machine, last in _with_last(_chunks(benchmark, item_col, item_text_col, max_windows)):
         shared = docs.sparkSession.sparkContext.broadcast(machine)
         clean = each_text(lambda raw, shared=shared: len(set().union(*(x[2] for x in shared.value.search(raw or b"")[1]))) < min_items, pa.bool_())
         docs = docs.where(clean(F.col(text_col)))
+        if not last:
+            docs = work.cut(docs)
+            shared.destroy()
     return docs
 
 

@@ -1,18 +1,26 @@
 """Secret scans: fixed patterns, and a randomness test battery over long tokens.
 
-Base spans come from three patterns. Beyond them, every maximal run of 20 or more characters of
+Base spans come from three patterns. Beyond them, every maximal run of ``SHORTEST`` or more characters of
 [A-Za-z0-9+/_-], with its padding, that mixes digits and letters or cases, or is of capitals, is read in the
-encoding inferred from its characters (hex, base32, base64). If it is encoded random data, its symbols are uniform and independent; three
-tests give p-values for that: chi-squared of the alphabet in equal cells, Wald-Wolfowitz runs about the
-alphabet's middle, and lag-one serial correlation, joined by Fisher's method. Within each stratum of
-length, the Benjamini-Hochberg rule over all documents' tokens decides which are rejected as not random;
-the rest are added as spans of kind ``random``, where no base span overlaps them.
+encoding inferred from its characters (hex, base32, base64) and tested twice:
 
-Scale: two scans without a shuffle of text. The first yields counts of p-values in fixed cells by stratum
-(at most 4 x 401 rows reach the driver whatever the input), the second applies the thresholds.
+* If it is encoded random data, its symbols are uniform and independent; three tests give p-values for that:
+  chi-squared of the alphabet in equal cells, Wald-Wolfowitz runs about the alphabet's middle, and lag-one serial
+  correlation, joined by Fisher's method. Within each stratum of length, the Benjamini-Hochberg rule over all
+  documents' tokens decides which are rejected as not random.
+* If it is ordinary text, words run together or joined by a sign, its characters follow each other as in the corpus:
+  the sum of their surprise under the character pairs of all texts gives a p-value, which allows for its length. The Benjamini-Hochberg rule over
+  the tokens of a stratum that the battery did not reject holds the expected share of ordinary tokens among the reported
+  ones below ``LEVEL``.
 
-Defined cases: a null text is empty; an empty text has no spans; a span is (kind, start, end) in code
-points; repeated rows give repeated results; without any candidate nothing is added.
+Tokens that pass the first and fail the second are added as spans of kind ``random``, where no base span overlaps them.
+Tokens of fewer than ``SHORTEST`` characters are not tested: that few symbols cannot tell random data from a word.
+
+Scale: three scans without a shuffle of text: character pairs (a fixed table for each task), counts of p-values in
+fixed cells by stratum (at most 4 x 401 x 401 rows reach the driver whatever the input), and the spans.
+
+Defined cases: a null text is empty; an empty text has no spans; very long texts are read whole; a span is (kind,
+start, end) in code points; repeated rows give repeated results; without any candidate nothing is added.
 """
 
 from __future__ import annotations
@@ -23,6 +31,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +57,13 @@ ALPHABETS[3] |= {"-": 62, "_": 63}
 
 STRATA = (32, 48, 80)  # lengths at which the next stratum begins
 CELLS, FINEST = 400, 40.0  # cells of -log10(p)
-LEVEL = 0.05
+LEVEL = 0.05  # of tokens wrongly rejected as not random, and of ordinary tokens among the reported ones
+
+#: Characters of tokens, by kind of byte: 0 for all others.
+SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/-_"
+_PLACES = np.zeros(256, np.uint8)
+_PLACES[[ord(c) for c in SYMBOLS]] = np.arange(1, len(SYMBOLS) + 1)
+_SIZE = len(SYMBOLS) + 1
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -119,8 +134,45 @@ def cell(p: float) -> int:
     return min(CELLS, int(-math.log10(max(p, 1e-300)) * CELLS / FINEST))
 
 
-def scan(raw: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
-    """Base spans as (start, kind's place, end), and candidates as (start, end, stratum, cell)."""
+def symbol_pairs(raw: bytes) -> np.ndarray:
+    """How often each symbol is the next after each: within words, and from a word to the next. Runs that are long
+    enough to be tested themselves are left out. Two tables in one: all pairs, and those from word to word."""
+    x = _PLACES[np.frombuffer(raw, np.uint8)].astype(np.int32)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], x > 0, [0]]).astype(np.int8)))
+    first, last = edge[::2], edge[1::2]
+    long = last - first >= SHORTEST
+    for a, b in zip(first[long].tolist(), last[long].tolist()):
+        x[a:b] = 0
+    at = np.flatnonzero(x)
+    pair = x[at[:-1]] * _SIZE + x[at[1:]]
+    return np.concatenate([np.bincount(p, minlength=_SIZE * _SIZE) for p in (pair, pair[np.diff(at) > 1])])
+
+
+class Ordinary:
+    """How surprising a token is as words run together, or joined by a sign, from pairs of symbols in all texts."""
+
+    def __init__(self, pairs: np.ndarray) -> None:
+        every, between = pairs.reshape(2, _SIZE, _SIZE)[:, 1:, 1:]
+        n = every + 0.05  # also where a corpus is small, every pair is possible
+        for sign in "-_/":
+            k = SYMBOLS.index(sign)
+            n[:, k] += between.sum(1) / 4
+            n[k] += between.sum(0) / 4
+        self.surprise = -np.log(n / n.sum(1, keepdims=True))
+        share = n / n.sum()
+        self.mean = float((share * self.surprise).sum())
+        self.spread = float((share * (self.surprise - self.mean) ** 2).sum()) ** 0.5
+
+    def p(self, token: str) -> float:
+        """The p-value of the token's mean surprise; that of a sum of as many pairs is about normal."""
+        x = _PLACES[np.frombuffer(token.rstrip("=").encode(), np.uint8)].astype(np.int64) - 1
+        n = len(x) - 1
+        z = (float(self.surprise[x[:-1], x[1:]].sum()) - n * self.mean) / (self.spread * math.sqrt(n))
+        return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def scan(raw: bytes, ordinary: Ordinary) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int, int]]]:
+    """Base spans as (start, kind's place, end), and candidates as (start, end, stratum, cells of both p-values)."""
     text = raw.decode()
     base = base_spans(text)
     tokens = []
@@ -128,7 +180,7 @@ def scan(raw: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
         base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
         for m in TOKEN.finditer(text):
             if (p := randomness(m.group())) is not None:
-                tokens.append((m.start(), m.end(), stratum(m.end() - m.start()), cell(p)))
+                tokens.append((m.start(), m.end(), stratum(m.end() - m.start()), cell(p), cell(ordinary.p(m.group()))))
     base.sort()
     free = [t for t in tokens if not any(a < t[1] and t[0] < b for a, _, b in base)]
     return base, free
@@ -138,46 +190,68 @@ def _raw(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [x or b"" for x in batch[column].cast(pa.binary()).to_pylist()]
 
 
-def thresholds(docs: DataFrame, text_col: str = "text", level: float = LEVEL) -> dict[int, int]:
-    """By stratum, the least cell whose tokens are rejected as random (the p-values' order is reversed)."""
+def rejected(cells: dict[int, int], level: float) -> int:
+    """By the Benjamini-Hochberg rule, the least cell whose p-values are rejected. cells: how many p-values each has;
+    a cell's p-values count as its greatest."""
+    total, below, out = sum(cells.values()), 0, CELLS + 1
+    for c in sorted(cells, reverse=True):  # smallest p first
+        below += cells[c]
+        if 10 ** (-c * FINEST / CELLS) <= level * below / total:
+            out = c
+    return out
+
+
+class Rule:
+    """ordinary: the text model; random, odd: by stratum, the least cells rejected as random and as ordinary."""
+
+    def __init__(self, ordinary: Ordinary, counts: dict[tuple[int, int, int], int], level: float) -> None:
+        self.ordinary, self.random, self.odd = ordinary, {}, {}
+        for s in {k[0] for k in counts}:
+            of = {k[1:]: n for k, n in counts.items() if k[0] == s}
+            cells: Counter = Counter()
+            for (c, _), n in of.items():
+                cells[c] += n
+            self.random[s] = rejected(cells, level)
+            cells = Counter()
+            for (c, odd), n in of.items():
+                if c < self.random[s]:
+                    cells[odd] += n
+            self.odd[s] = rejected(cells, level)
+
+    def spans(self, raw: bytes) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+        """Base spans, and all spans, each in order of start, then kind."""
+        base, tokens = scan(raw, self.ordinary)
+        added = [(a, 3, b) for a, b, s, c, odd in tokens if c < self.random.get(s, 0) and odd >= self.odd[s]]
+        return base, sorted(base + added)
+
+
+def fit(docs: DataFrame, text_col: str = "text", level: float = LEVEL) -> Rule:
+    """The rule that all documents' tokens give."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(2 * _SIZE * _SIZE, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):  # texts apart: a line break belongs to no token
+                seen += symbol_pairs(b"\n".join(_raw(batch.slice(at, 512), "text")))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["pair", "cnt"])
+
+    texts = docs.select(F.col(text_col).alias("text"))
+    table = np.zeros(2 * _SIZE * _SIZE, np.int64)
+    for r in texts.mapInArrow(pairs, "pair int, cnt long").groupBy("pair").agg(F.sum("cnt").alias("cnt")).collect():
+        table[r["pair"]] = r["cnt"]
+    ordinary = Ordinary(table)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for raw in _raw(batch, "text"):
-                seen.update((t[2], t[3]) for t in scan(raw)[1])
-        keys = sorted(seen)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())],
-            names=["stratum", "cell", "cnt"],
-        )
-
-    rows = (
-        docs.select(F.col(text_col).alias("text"))
-        .mapInArrow(count, "stratum int, cell int, cnt long")
-        .groupBy("stratum", "cell")
-        .agg(F.sum("cnt").alias("cnt"))
-        .collect()
-    )
-    by: dict[int, dict[int, int]] = {}
-    for r in rows:
-        by.setdefault(r["stratum"], {})[r["cell"]] = r["cnt"]
-    out = {}
-    for s, cells in by.items():
-        total, below = sum(cells.values()), 0
-        out[s] = CELLS + 1
-        for c in sorted(cells, reverse=True):  # smallest p first
-            below += cells[c]
-            if 10 ** (-c * FINEST / CELLS) <= level * below / total:
-                out[s] = c
-    return out
-
+                seen.update(t[2:] for t in scan(raw, ordinary)[1])
+        columns = [pa.array([k[i] for k in seen], pa.int32()) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(list(seen.values()), pa.int64())], names=["stratum", "cell", "odd", "cnt"])
 
-def secret_spans(raw: bytes, cuts: dict[int, int]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all spans, each in order of start, then kind."""
-    base, tokens = scan(raw)
-    added = [(a, 3, b) for a, b, s, c in tokens if c < cuts.get(s, 0)]
-    return base, sorted(base + added)
+    rows = texts.mapInArrow(count, "stratum int, cell int, odd int, cnt long").groupBy("stratum", "cell", "odd").agg(F.sum("cnt").alias("cnt")).collect()
+    return Rule(ordinary, {(r["stratum"], r["cell"], r["odd"]): r["cnt"] for r in rows}, level)
 
 
 def _join(spans: list[tuple[int, int, int]]) -> str:
@@ -186,14 +260,14 @@ def _join(spans: list[tuple[int, int, int]]) -> str:
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: float = LEVEL) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random."""
-    cuts = thresholds(docs, text_col, level)
+    rule = fit(docs, text_col, level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[list[int]] = [[], [], [], []]
             digests, spans = [], []
             for raw in _raw(batch, "text"):
-                base, every = secret_spans(raw, cuts)
+                base, every = rule.spans(raw)
                 for k in range(4):
                     counts[k].append(sum(x[1] == k for x in every))
                 digests.append(hashlib.sha256(_join(base).encode()).hexdigest())
@@ -211,13 +285,13 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", level: float = LEVEL) -> DataFrame:
     """The documents, all columns, with each secret's characters replaced by [kind]; the length follows the text."""
-    cuts = thresholds(docs, text_col, level)
+    rule = fit(docs, text_col, level)
 
     def clean(raw: bytes | None) -> str | None:
         if raw is None:
             return None
         text, out, to = raw.decode(), [], 0
-        for a, k, b in secret_spans(raw, cuts)[1]:
+        for a, k, b in rule.spans(raw)[1]:
             if a >= to:
                 out += [text[to:a], f"[{KINDS[k]}]"]
             to = max(to, b)

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 from glyphmill.llm import decontaminate as D
 from glyphmill.llm import secrets as S
@@ -43,6 +44,10 @@ def test_decontamination(spark):
         clean = D.keep_clean(d, b, max_windows=most)
         assert clean.columns == d.columns
         assert sorted(r.doc_id for r in clean.collect()) == sorted(w[0] for w in want if not w[3])
+    named = D.decontaminate(d.selectExpr("concat('d', doc_id) AS doc_id", "text"), b).where("contaminated").collect()
+    assert sorted(r.doc_id for r in named) == sorted(f"d{w[0]}" for w in want if w[5])
+    long = spark.createDataFrame([(1, "q " * 400_000 + items[5][1])], "doc_id long, text string")
+    assert D.decontaminate(long, b.where("item_id = 5")).first().n_items == 1
     assert all(r[3] == 0 for r in D.decontaminate(d, b.limit(0)).collect())
     assert D.decontaminate(d.limit(0), b).collect() == []
 
@@ -99,3 +104,37 @@ def test_secrets_in_assignments_and_without_digits(spark):
     assert len([i for i in left if i < 40]) <= 10 and len([i for i in left if i >= 40]) <= 8
     assert all(clean[i] == f"see {name}[random] end" for i, (name, _, _) in enumerate(names) if i not in left)
     assert S.randomness("a" * 12 + "b" * 12) is None
+
+
+def test_false_discoveries_are_held():
+    """Known keys and known ordinary tokens: the plain Benjamini-Hochberg rule on the p-values gives the same cut."""
+    rng = random.Random(6)
+    words = ["the", "quick", "Brown", "fox", "jumps", "over", "lazy", "Dog", "account", "Number", "service", "version", "Client", "index", "2024", "17"]
+    prose = " ".join(rng.choice(words) for _ in range(20_000))
+    ordinary = S.Ordinary(S.symbol_pairs(prose.encode()))
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = ["".join(rng.choice(chars) for _ in range(30)) for _ in range(100)]
+    names = []
+    while len(names) < 300:
+        name = rng.choice(["", "-", "_", "/"]).join(rng.choice(words) for _ in range(7))[:30]
+        if len(name) == 30 and S.randomness(name) is not None:
+            names.append(name)
+    counts, p = Counter(), []
+    for token in keys + names:
+        c, odd = S.cell(S.randomness(token)), S.cell(ordinary.p(token))
+        counts[0, c, odd] += 1
+        p.append((c, 10 ** (-odd * S.FINEST / S.CELLS)))
+    rule = S.Rule(ordinary, counts, 0.05)
+
+    def plain(values):
+        values = sorted(values)
+        good = [v for k, v in enumerate(values, 1) if v <= 0.05 * k / len(values)]
+        return max(good, default=-1.0)
+
+    cut = plain([10 ** (-c * S.FINEST / S.CELLS) for c, _ in p])
+    left = [(k, o) for k, (c, o) in enumerate(p) if 10 ** (-c * S.FINEST / S.CELLS) > cut]
+    odd = plain([o for _, o in left])
+    want = {k for k, o in left if o <= odd}
+    got = {k for k, token in enumerate(keys + names) if S.cell(S.randomness(token)) < rule.random[0] and S.cell(ordinary.p(token)) >= rule.odd[0]}
+    assert got == want
+    assert sum(k < 100 for k in got) >= 85 and sum(k >= 100 for k in got) <= 0.05 * len(got)
