@@ -19,9 +19,7 @@ language first in order; repeated rows count as pages each.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -166,37 +164,3 @@ def op6_langid(spark, sf_dir: str) -> DataFrame:
     from glyphmill.llm._common import read
 
     return identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
-
-
-def brute_force(pages: list[tuple], model: TextModel) -> dict:
-    """The same by loops over (page_id, url, html), for tests: page_id -> (language, confidence)."""
-    size, m = len(model.languages), STRENGTH
-    rows = []
-    for i, url, page in pages:
-        d = DECLARED.search(page or "")
-        text = main_text(page or "", set())
-        ll = [TEMPER * v for v in model.likelihoods(text.encode())] if text else [0.0] * size
-        name = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", url or "")
-        name = name.group(1).lower() if name else ""
-        tail, domain = re.search(r"\.([a-z]{2,})$", name), re.search(r"([^.]+\.[^.]+)$", name)
-        declared = model.languages.index(d.group(1).lower()) if d and d.group(1).lower() in model.languages else None
-        rows.append((i, name, domain.group(1) if domain else "", tail.group(1) if tail else "", declared, int(np.argmax(ll)) if text else None, ll))
-    n = [Counter((r[c], r[5]) for r in rows if r[5] is not None) for c in (1, 2, 3, 4)]
-    every = Counter(r[5] for r in rows if r[5] is not None)
-    out = {}
-    for i, name, domain, tail, declared, best, ll in rows:
-        less, scores = int(best is not None), []
-        for k in range(size):
-            one = int(best == k)
-            share = (every[k] - one + 1) / (sum(every.values()) - less + size)
-            for c, key in ((1, domain), (0, name)):
-                share = (n[c][key, k] - one + m * share) / (sum(n[c][key, j] for j in range(size)) - less + m)
-            s = ll[k] + math.log(share)
-            if declared is not None:
-                s += math.log((n[3][declared, k] - one + m / size) / (every[k] - one + m))
-            if tail:
-                s += math.log((n[2][tail, k] - one + m / size) / (every[k] - one + m))
-            scores.append(s)
-        top = max(scores)
-        out[i] = (model.languages[scores.index(top)], 1 / sum(math.exp(s - top) for s in scores))
-    return out

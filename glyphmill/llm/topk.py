@@ -1,19 +1,23 @@
 """Exact top-k inner products by block-at-a-time pruning.
 
-Vectors become whole numbers (floor of ``scale`` times each component). Rows in order of their id form
-blocks; a block keeps its rows as a forward index (ids and a matrix) and each component's maximum and
-minimum. For a query, the sum over components of the greatest product within a block's range bounds every
-score in the block. Each query takes the blocks of a partition in descending order of that bound and stops
-at the first block whose bound is below its kth score so far; an equal bound is still scored, as ties go
-to smaller ids. The best k of each partition are then ranked over all partitions.
+Vectors become whole numbers (floor of ``scale`` times each component). Rows are ordered by the pivot that they are most
+similar to (``PIVOTS`` rows, the least in a hash of their id), then by id, so near rows share a range. Ranges of that order
+form blocks; a block keeps its rows as a forward index (ids and a matrix) and each component's maximum and minimum.
+For a query, the sum over components of the greatest product within a block's range bounds every score in the block.
+Each query takes the blocks at hand in descending order of that bound and stops at the first block whose bound is below
+its kth score so far; an equal bound is still scored, as ties go to smaller ids. Pivots decide only which rows share
+a block, so the result is exact whatever they are. The best k of each partition are then ranked over all partitions.
 
-Scale: blocks are written once; queries are taken in batches of at most ``QUERY_BATCH`` and broadcast, one
-pass over the blocks for each batch, so neither the driver nor a task holds more than a batch and a block.
+Where vectors are spread evenly over all directions, as in the synthetic tables, no block's bound falls below a kth
+score and every pair is scored; where they gather, most blocks are skipped.
+
+Scale: blocks are written once; queries are taken in batches of at most ``QUERY_BATCH`` and broadcast, one pass over
+the blocks for each batch, whose broadcast goes before the next one's. A task reads its blocks ``HELD`` at a time.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, nor do rows
 without an id; only vectors of the query's dimension are compared; a candidate with the query's own id is
 the query's own row; a repeated row is a candidate each time, and a repeated query id is asked once for
-each distinct vector; fewer candidates than k give fewer rows.
+each distinct vector; fewer candidates than k give fewer rows; very long vectors are whole.
 """
 
 from __future__ import annotations
@@ -28,34 +32,71 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm._common import Workspace, partitions
 
-BLOCK, QUERY_BATCH = 256, 16_384
+BLOCK, QUERY_BATCH, PIVOTS, HELD = 64, 16_384, 256, 256
 BLOCKS = "dim int, ids binary, matrix binary, top binary, low binary"
 EXACT = float(2**53)
 
 
+def _ordered(rows: DataFrame, pivots: int) -> DataFrame:
+    """rows (vec_id, v) with the place of the pivot of the same dimension that each is most similar to."""
+    by: dict[int, list] = {}
+    for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(pivots).collect():
+        by.setdefault(len(r["v"]), []).append(r["v"])
+    shared = rows.sparkSession.sparkContext.broadcast({d: np.array(v, float) for d, v in by.items()})
+
+    def near(column: pa.Array) -> pa.Array:
+        out = np.zeros(len(column), np.int32)
+        groups: dict[int, list[int]] = {}
+        vectors = column.to_pylist()
+        for i, v in enumerate(vectors):
+            groups.setdefault(len(v), []).append(i)
+        for d, at in groups.items():
+            if d in shared.value:
+                out[at] = (np.array([vectors[i] for i in at], float) @ shared.value[d].T).argmax(1)
+        return pa.array(out)
+
+    @F.arrow_udf("int")
+    def pivot(column: pa.Array) -> pa.Array:
+        return near(column)
+
+    return rows.withColumn("pivot", pivot("v"))
+
+
 def _blocks(rows: DataFrame, block: int) -> DataFrame:
+    """rows (vec_id, v, pivot) in order -> blocks of one dimension and pivot; whole numbers in as few bytes as they need."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, tuple[list, list]] = {}
+        by: dict[int, tuple[int, list, list]] = {}
 
         def emit(dim: int) -> pa.RecordBatch:
-            ids, vectors = by.pop(dim)
+            _, ids, vectors = by.pop(dim)
             m = np.array(vectors, np.int64)
-            raw = [np.array(ids, np.int64).tobytes(), m.tobytes(), m.max(0).tobytes(), m.min(0).tobytes()]
+            top, low = m.max(0), m.min(0)
+            kind = next(k for k in (np.int16, np.int32, np.int64) if np.iinfo(k).min <= low.min() and top.max() <= np.iinfo(k).max)
+            raw = [np.array(ids, np.int64).tobytes(), m.astype(kind).tobytes(), top.tobytes(), low.tobytes()]
             return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *(pa.array([x], pa.binary()) for x in raw)], names=["dim", "ids", "matrix", "top", "low"])
 
         for batch in batches:
-            for i, v in zip(batch["vec_id"].to_pylist(), batch["v"].to_pylist(), strict=True):
-                ids, vectors = by.setdefault(len(v), ([], []))
+            for i, v, pivot in zip(batch["vec_id"].to_pylist(), batch["v"].to_pylist(), batch["pivot"].to_pylist(), strict=True):
+                d = len(v)
+                if d in by and (by[d][0] != pivot or len(by[d][1]) == block):
+                    yield emit(d)
+                _, ids, vectors = by.setdefault(d, (pivot, [], []))
                 ids.append(i)
                 vectors.append(v)
-                if len(ids) == block:
-                    yield emit(len(v))
         for dim in list(by):
             yield emit(dim)
 
     return rows.mapInArrow(run, BLOCKS)
 
 
+def _read(row: dict) -> tuple[np.ndarray, ...]:
+    """ids, matrix, top, low of a block."""
+    top, low, ids = (np.frombuffer(row[c], np.int64) for c in ("top", "low", "ids"))
+    kind = f"<i{len(row['matrix']) // (len(ids) * row['dim'])}"
+    return ids, np.frombuffer(row["matrix"], kind).reshape(-1, row["dim"]).astype(np.int64), top, low
+
+
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The exact integer product; in doubles where all sums are exact there."""
     if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1] < EXACT:
@@ -94,21 +135,24 @@ class _Best:
         self.count[q] = np.bincount(r, minlength=len(q))
 
 
-def search(ids: np.ndarray, queries: np.ndarray, blocks: list, k: int) -> _Best:
-    """blocks: (ids, matrix, top, low); each query takes them in the order of its bounds."""
-    best = _Best(len(ids), k)
+def search(best: _Best, ids: np.ndarray, queries: np.ndarray, blocks: list) -> int:
+    """blocks: (ids, matrix, top, low); each query takes them in the order of its bounds. The number of pairs scored."""
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
     bound = np.stack([_product(up, t[None])[:, 0] + _product(down, w[None])[:, 0] for _, _, t, w in blocks], 1)
     order = np.argsort(-bound, axis=1, kind="stable")
-    live = np.arange(len(ids))
+    live, scored = np.arange(len(ids)), 0
     for r in range(len(blocks)):
         at = order[live, r]
         go = bound[live, at] >= best.kth(live)
         live, at = live[go], at[go]
-        for b in np.unique(at):
-            q = live[at == b]
+        if not len(live):
+            break
+        by = np.argsort(at, kind="stable")
+        for part in np.split(by, np.flatnonzero(np.diff(at[by])) + 1):
+            q, b = live[part], at[part[0]]
+            scored += len(q) * len(blocks[b][0])
             best.add(q, _product(queries[q], blocks[b][1]), blocks[b][0], ids[q])
-    return best
+    return scored
 
 
 def top_k(
@@ -123,7 +167,8 @@ def top_k(
         .where(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
         .select(F.col(id_col).cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
     )
-    index = work.cut(_blocks(rows.repartitionByRange(partitions(spark), "vec_id").sortWithinPartitions("vec_id"), block))
+    ordered = _ordered(rows, PIVOTS).repartitionByRange(partitions(spark), "pivot", "vec_id").sortWithinPartitions("pivot", "vec_id")
+    index = work.cut(_blocks(ordered, block))
     asked = rows.where(F.col("vec_id") % every == 0).distinct()
 
     def batches_of_queries() -> Iterator[list]:
@@ -145,23 +190,28 @@ def top_k(
         shared = spark.sparkContext.broadcast({d: (np.array(i, np.int64), np.array(x, np.int64)) for d, (i, x) in by.items()})
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            blocks: dict[int, list] = {}
+            best = {d: _Best(len(ids), k) for d, (ids, _) in shared.value.items()}
             for part in batches:
-                for row in part.to_pylist():
-                    d = row["dim"]
-                    top, low, ids = (np.frombuffer(row[c], np.int64) for c in ("top", "low", "ids"))
-                    blocks.setdefault(d, []).append((ids, np.frombuffer(row["matrix"], np.int64).reshape(-1, d), top, low))
-            for d, (ids, queries) in shared.value.items():
-                if d in blocks:
-                    best = search(ids, queries, blocks[d], k)
-                    r, c = np.nonzero(np.arange(k)[None, :] < best.count[:, None])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(r.astype(np.int64)), pa.array(ids[r]), pa.array(best.id[r, c]), pa.array(best.score[r, c])], names=["q", "query_id", "vec_id", "score"]
-                    )
+                for at in range(0, part.num_rows, HELD):
+                    held: dict[int, list] = {}
+                    for row in part.slice(at, HELD).to_pylist():
+                        if row["dim"] in best:
+                            held.setdefault(row["dim"], []).append(_read(row))
+                    for d, blocks in held.items():
+                        search(best[d], *shared.value[d], blocks)
+            for d, b in best.items():
+                r, c = np.nonzero(np.arange(k)[None, :] < b.count[:, None])
+                ids = shared.value[d][0]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(r.astype(np.int64)), pa.array(ids[r]), pa.array(b.id[r, c]), pa.array(b.score[r, c])], names=["q", "query_id", "vec_id", "score"]
+                )
 
         found = index.mapInArrow(run, "q long, query_id long, vec_id long, score long")
         ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")))
         ranked = ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        if len(batch) == QUERY_BATCH:  # more may come: only one batch is held at a time
+            ranked = work.cut(ranked)
+            shared.destroy()
         out = ranked if out is None else out.union(ranked)
     return out
 
