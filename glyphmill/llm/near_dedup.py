@@ -12,14 +12,16 @@
    go through an exact prefix filter on their full sets, which yields pairs across components only.
 4. Candidates are confirmed on the full shingle sets, then components give the result.
 
-For a similarity of 0.8 the chance that a pair agrees on fewer than 36 of 64 coordinates is about 1e-6.
+For a similarity of exactly 0.8 the chance that a pair agrees on fewer than 36 of 64 coordinates is 4.2e-6.
 
 Scale: text is scanned twice and never shuffled (the second scan keeps only documents in a candidate pair,
 by a broadcast of their ids up to ``BROADCAST_IDS``, by a shuffled semi-join beyond). Posting lists are
-never collected; counts are pre-aggregated, and joins on hot values can be split by adaptive execution.
+never collected; counts are pre-aggregated, and rows of a hot digest or value (see ``join_hot``) stay where they
+are and meet a broadcast of its few rows. Ids may be of any ordered type.
 
 Defined cases: no words or null text: no shingles, linked with nothing; fewer words than a shingle: the
-whole sequence is one shingle; repeated rows are equal sets; rows with one doc_id are one node; a null
+whole sequence is one shingle; very long texts are read whole; repeated rows are equal sets; rows with one doc_id
+are one node; a null
 doc_id never is a representative, and its row gets the least doc_id of its equal sets, if any.
 """
 
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from glyphmill.llm._common import Workspace, slot, texts
+from glyphmill.llm._common import Workspace, hot_keys, join_hot, join_salted, slot, texts
 from glyphmill.llm._graph import components
 
 COORDINATES, MATCHES = 64, 36
@@ -86,7 +88,11 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-SKETCH = "doc_id long, n_shingles long, digest binary, sig array<int>"
+SKETCH = "doc_id {}, n_shingles long, digest binary, sig array<int>"
+
+
+def _kind(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
@@ -106,7 +112,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                     names=["doc_id", "n_shingles", "digest", "sig"],
                 )
 
-    return docs.mapInArrow(run, SKETCH)
+    return docs.mapInArrow(run, SKETCH.format(_kind(docs)))
 
 
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
@@ -120,18 +126,21 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
                 s = [shingles(t, size, hashes).view(np.int64) for t in texts(part["text"])]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(s, pa.list_(pa.int64()))], names=["doc_id", "s"])
 
-    return docs.mapInArrow(run, "doc_id long, s array<long>")
+    return docs.mapInArrow(run, f"doc_id {_kind(docs)}, s array<long>")
 
 
-def _posts(reps: DataFrame) -> DataFrame:
-    """rep, n, pop, token: each class under the rarest shared (coordinate, value) pairs of its prefix."""
-    tokens = reps.select("rep", F.posexplode("sig").alias("k", "v")).select(
+def _tokens(reps: DataFrame) -> DataFrame:
+    """rep, token: each class under all its (coordinate, value) pairs."""
+    return reps.select("rep", F.posexplode("sig").alias("k", "v")).select(
         "rep", (F.col("k").cast("long") * F.lit(2**32) + F.col("v").cast("long")).alias("token")
     )
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+
+
+def _posts(reps: DataFrame, shared: DataFrame, hot: list[int]) -> DataFrame:
+    """rep, pop, token: each class under the rarest shared pairs of its prefix. shared: token, df."""
     prefix = COORDINATES - MATCHES + 1
     ranked = (
-        tokens.join(shared, "token")
+        join_hot(_tokens(reps), shared, ["token"], hot)
         .groupBy("rep")
         .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"), F.sum("df").alias("pop"))
         .where(F.size("t") > COORDINATES - prefix)  # else all of the prefix is its own
@@ -140,31 +149,26 @@ def _posts(reps: DataFrame) -> DataFrame:
     return ranked.select("rep", "pop", F.col("t.token").alias("token"))
 
 
+def _both_sides(pairs: DataFrame, side) -> DataFrame:
+    """pairs (a, b), written, with the columns of side(name) for each; a leader of many pairs is dealt to several tasks."""
+    total = pairs.count()
+    hot = lambda x: hot_keys(pairs.groupBy(x).agg(F.count("*").alias("m")), [x], "m", total)
+    return join_salted(join_salted(pairs, side("a"), ["a"], hot("a"), "b"), side("b"), ["b"], hot("b"), "a")
+
+
 def _agree(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose sizes allow the similarity and whose signatures agree often enough."""
     side = lambda x: reps.select(F.col("rep").alias(x), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
     same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        .where(same >= MATCHES)
-        .select("a", "b")
-        .distinct()
-    )
+    size = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    return _both_sides(pairs, side).where(size).where(same >= MATCHES).select("a", "b")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those whose full sets (doc_id, s) have the similarity."""
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("s").alias(f"s{x}"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return (
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent)
-        .select("a", "b")
-        .distinct()
-    )
+    return _both_sides(pairs, side).where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b").distinct()
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, work: Workspace) -> DataFrame:
@@ -204,14 +208,14 @@ def _across(lists: DataFrame, docs: DataFrame, tested: DataFrame, size: int, per
     )
     x, y = posts.alias("x"), posts.alias("y")
     room = f"(1 + least(x.n - x.i - 1, y.n - y.i - 1)) * {100 + percent} >= {percent} * (x.n + y.n)"
-    pairs = (
+    pairs = work.cut(
         x.join(y, F.expr(f"x.h = y.h and x.doc_id > y.doc_id and x.c != y.c and {room}"))
         .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
         .distinct()
         .join(tested, ["a", "b"], "left_anti")
     )
     links = work.cut(_similar(pairs, sets, percent))
-    work.drop(members, sets, posts)
+    work.drop(members, sets, posts, pairs)
     return links
 
 
@@ -220,41 +224,53 @@ def near_groups(
 ) -> DataFrame:
     """Per document row: doc_id, n_shingles, digest (of its set), component_id, kept."""
     work = Workspace(docs.sparkSession)
-    docs = slot(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = slot(docs, id_col, text_col)
     sketch = work.cut(sketches(docs, shingle))
-    classes = sketch.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
+    classes = work.cut(
+        sketch.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("m"))
+    )
+    often = hot_keys(classes, ["digest"], "m", sketch.count())
+    classes = classes.drop("m")
+    own = ["digest", "doc_id"]  # a key that copies do not share
     reps = work.cut(
-        sketch.join(classes, "digest")
-        .where("doc_id = class_id")
-        .dropDuplicates(["doc_id", "digest"])
+        sketch.join(classes.withColumnRenamed("class_id", "doc_id"), own, "left_semi")
+        .dropDuplicates(own)
         .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sig")
     )
-    posts = work.cut(_posts(reps))
+    shared = work.cut(_tokens(reps).groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
+    hot = hot_keys(shared, ["token"], "df", reps.count() * COORDINATES)
+    posts = work.cut(_posts(reps, shared, hot))
     pair = lambda a, b: [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
 
     # each list against its leader
-    lead = posts.groupBy("token").agg(F.max(F.struct("pop", (-F.col("rep")).alias("neg"))).alias("l"), F.count("*").alias("m")).where("m > 1")
-    stars = posts.join(lead.select("token", (-F.col("l.neg")).alias("leader")), "token").where("rep != leader")
-    tested = work.cut(stars.select(*pair("rep", "leader")).distinct())
-    near = work.cut(_agree(tested, reps, percent))
+    lead = posts.groupBy("token").agg(F.max(F.struct("pop", "rep")).alias("l"), F.count("*").alias("m")).where("m > 1")
+    stars = work.cut(join_hot(posts, lead.select("token", F.col("l.rep").alias("leader")), ["token"], hot).where("rep != leader").select(*pair("rep", "leader")).distinct())
+    near = work.cut(_agree(stars, reps, percent))
     links = _confirm(near, docs, shingle, percent, work)
     found = work.cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), work))
-    work.drop(near)
 
     # lists that still span components: pairs across components
     at = posts.join(found, F.col("rep") == F.col("node"), "left").select("token", "rep", F.coalesce("component", "rep").alias("c"))
     split = at.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
-    open_lists = work.cut(at.join(split, "token", "left_semi"))
-    rest = _across(open_lists, docs, tested, shingle, percent, work)
+    open_lists = work.cut(join_hot(at, split, ["token"], hot))
+    rest = _across(open_lists, docs, near, shingle, percent, work)
     links = links.union(rest).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    # rows with one id are one node, whatever their texts
+    several = sketch.where("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo != hi")
+    split_ids = work.cut(several.select("doc_id"))
+    if not split_ids.isEmpty():
+        of = sketch.join(split_ids, "doc_id", "left_semi").where("digest is not null").join(classes, "digest").where("doc_id != class_id")
+        links = links.union(of.select(F.greatest("doc_id", "class_id").alias("u"), F.least("doc_id", "class_id").alias("v")))
     groups = components(links, work)
-    classes = classes.join(groups, F.col("class_id") == F.col("node"), "left").select(
-        "digest", F.coalesce("component", "class_id").alias("group_id")
+    classes = work.cut(
+        classes.join(groups, F.col("class_id") == F.col("node"), "left").select("digest", F.coalesce("component", "class_id").alias("group_id"))
     )
     component = F.coalesce("group_id", "doc_id")
-    return sketch.join(classes, "digest", "left").select(
+    out = join_hot(sketch.drop("sig"), classes, ["digest"], often, "left").select(
         "doc_id", "n_shingles", "digest", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
     )
+    work.drop(reps, shared, posts, stars, near, found, open_lists)
+    return out
 
 
 def op4_minhash(spark, sf_dir: str) -> DataFrame:

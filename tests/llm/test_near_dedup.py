@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import Row
 
 from glyphmill.llm import near_dedup as N
@@ -47,7 +48,9 @@ def corpus(seed=3):
     return rows
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("least", [64, 2])  # 2: most keys are hot
+def test_against_brute_force(spark, monkeypatch, least):
+    monkeypatch.setattr("glyphmill.llm._common.HOT_LEAST", least)
     rows = corpus()
     df = spark.createDataFrame([Row(doc_id=i, text=t, n_shingles="clash", component_id=0) for i, t in rows]).repartition(3)
     out = N.near_groups(df, shingle=4).collect()
@@ -64,3 +67,21 @@ def test_edges(spark):
     kept = N.keep_one(same.selectExpr("*", "1 AS n", "2 AS kept"))
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["5", "None", "None"]
     assert kept.columns == ["doc_id", "text", "n", "kept"]
+
+
+def test_ids_of_text_and_ids_with_several_texts(spark):
+    rows = [("k3", "a b c d e f"), ("k5", "A b c d e f"), ("k5", "p q r s t u"), ("k9", "P q r s t u"), ("k7", "x y z z y x")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in N.near_groups(df, shingle=4).collect())
+    assert got == [("k3", "k3", True), ("k5", "k3", False), ("k5", "k3", False), ("k7", "k7", True), ("k9", "k3", False)]
+
+
+def test_recall_at_the_threshold():
+    """Pairs of a similarity of exactly 0.8: how many meet in enough coordinates."""
+    rng = random.Random(8)
+    met = 0
+    for _ in range(3000):
+        s = N.np.array([rng.getrandbits(64) for _ in range(90)], N.np.uint64)
+        a, b = N.signature(s[:81]), N.signature(s[9:])  # 72 of 90 in both
+        met += int((a == b).sum() >= N.MATCHES)
+    assert met >= 2999
