@@ -16,7 +16,7 @@ Equal pieces are told by 128 bits of a digest, and equal texts likewise; windows
 Scale: shuffled are one number for each anchor and the pieces of repeated anchors, then the texts of ``width`` bytes
 or more once to meet their ranges. Rows of a hot anchor, piece or text (see ``join_hot``) stay where they are and meet a
 broadcast of its few rows. The bit map has 16 bits for each repeated anchor and at most ``2 ** MOST_BITS`` bits;
-beyond that more pieces of unrepeated anchors are shuffled, with the same result.
+beyond that a shuffled semi-join with the repeated anchors drops what the map lets through.
 
 Defined cases: a null text has no bytes; texts shorter than ``width`` keep all; every copy of a repeated row
 is removed alike; touching ranges are one run; matches never cross documents.
@@ -121,8 +121,8 @@ def _anchored(raws: list[bytes], width: int) -> Iterator[tuple[int, int, bytes,
             yield first, a, cut, (h, p, lo, hi, np.zeros(len(h), np.int64), np.array([len(cut)]))
 
 
-def _repeated(docs: DataFrame, width: int, work: Workspace) -> np.ndarray:
-    """A bit map of the hashes of anchors that occur twice or more."""
+def _repeated(docs: DataFrame, width: int, work: Workspace) -> tuple[np.ndarray, DataFrame | None]:
+    """A bit map of the hashes of anchors that occur twice or more; and h, n of these, where the map is too full to tell."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,14 +130,17 @@ def _repeated(docs: DataFrame, width: int, work: Workspace) -> np.ndarray:
                 value, n = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n.astype(np.int32))], names=["h", "n"])
 
-    seen = work.cut(docs.select("text").mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
-    bits = min(MOST_BITS, max(20, (seen.count() * 16).bit_length()))
+    seen = work.cut(docs.select("text").mapInArrow(count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"))
+    wanted = max(20, (seen.count() * 16).bit_length())
+    bits = min(MOST_BITS, wanted)
     words = seen.groupBy(F.expr(f"cast(shiftright(h & {2**bits - 1}L, 6) as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63L as int)))").alias("v"))
     found = words.toArrow()
-    work.drop(seen)
     out = np.zeros(2 ** (bits - 6), np.int64)
     out[found["word"].to_numpy()] = found["v"].to_numpy()
-    return out.view(np.uint64)
+    if bits < wanted:
+        return out.view(np.uint64), seen
+    work.drop(seen)
+    return out.view(np.uint64), None
 
 
 PIECE = "h long, d1 long, d2 long, k1 long, k2 long, lo int, a int, piece binary"
@@ -324,7 +327,12 @@ def _dealt(rows: DataFrame, work: Workspace) -> DataFrame:
 
 def _covered(docs: DataFrame, width: int, work: Workspace) -> tuple[DataFrame, list[int]]:
     """docs (k1, k2, text) -> k1, k2, spans (start, end): ranges of repeated windows; and the hot texts."""
-    pieces = work.cut(_pieces(docs, _repeated(docs, width, work), width))
+    bits, seen = _repeated(docs, width, work)
+    pieces = _pieces(docs, bits, width)
+    if seen is not None:
+        often = hot_keys(seen, ["h"], "n", seen.agg(F.sum("n")).first()[0])
+        pieces = join_hot(work.cut(pieces), seen.select("h"), ["h"], often, "left_semi")
+    pieces = work.cut(pieces)
     kinds = work.cut(
         pieces.groupBy("h", "d1", "d2").agg(F.count("*").alias("n"), F.first("a").alias("a"), F.first("piece").alias("piece"))
         .select("h", "d1", "d2", "a", "piece", "n", (F.col("n") > 1).alias("whole"), F.lit(0).alias("r0"), (F.length("piece") - width + 1).alias("r1"))

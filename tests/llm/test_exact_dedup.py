@@ -48,8 +48,10 @@ def test_against_brute_force(spark, monkeypatch):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS spans", "2 AS k1").repartition(3)
     want = brute(rows, 200)
-    for pieces, least in ((256, 64), (3, 2)):  # 3: nearly every anchor goes through the further rounds; 2: most keys are hot
+    # 3: nearly every anchor goes through the further rounds; 2: most keys are hot; 7: a map too full to tell
+    for pieces, least, bits in ((256, 64, 30), (3, 2, 7)):
         monkeypatch.setattr(X, "PIECES", pieces)
+        monkeypatch.setattr(X, "MOST_BITS", bits)
         monkeypatch.setattr("glyphmill.llm._common.HOT_LEAST", least)
         got = sorted((tuple(r) for r in X.remove_repeats(df).collect()), key=str)
         assert got == want
