@@ -209,8 +209,8 @@ def clean_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def merge_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the merged corpus: the fragments in the order of ids, as text files whose names are in that order."""
-    found = fragments(docs, id_col, text_col)
-    found.repartitionByRange(id_col).sortWithinPartitions(id_col).select(F.col("fragment").alias("value")).write.option("lineSep", "").text(path)
+    found = fragments(docs, id_col, text_col)  # each ends with the mark, which the writer puts after each row
+    found.repartitionByRange(id_col).sortWithinPartitions(id_col).select(F.rtrim("fragment", F.lit(END_OF_FRAGMENT)).alias("value")).write.option("lineSep", END_OF_FRAGMENT).text(path)
 
 
 def fragments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
