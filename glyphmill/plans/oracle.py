@@ -219,6 +219,16 @@ c AS (SELECT *, instr(substr(rest, 256), chr(10)) AS after FROM b)
 SELECT doc_id, CASE WHEN n <= 256 THEN text WHEN after > 0 THEN substr(rest, 1, 255 + after) ELSE rest END AS piece FROM c
 """
 
+def _substring_vocabulary(size: int) -> str:
+    base = ", ".join(f"('{s.hex()}', {len(s)}, true)" for s in HEX_BASE)
+    return f"""
+    WITH t AS ({_top_substrings("documents", size)}),
+    b(token, length, mandatory) AS (VALUES {base}),
+    r AS (SELECT lower(gram) AS token, length, row_number() OVER (ORDER BY cnt DESC, length, gram) AS k FROM t WHERE lower(gram) NOT IN (SELECT token FROM b))
+    SELECT token, CAST(length AS INTEGER) AS length, mandatory FROM b
+    UNION ALL SELECT token, CAST(length AS INTEGER), false FROM r WHERE k <= {size - len(HEX_BASE)}"""
+
+
 _BASE = "(VALUES " + ", ".join(f"({i}, '{s.hex().upper()}')" for i, s in enumerate(HEX_BASE)) + ") AS b(id, token)"
 
 SQL = {
@@ -267,6 +277,7 @@ SQL = {
         SELECT CAST(id AS INTEGER) AS token_id, token, true AS mandatory FROM {_BASE}
         UNION ALL SELECT CAST({len(HEX_BASE) - 1} + k AS INTEGER), byte, false FROM r WHERE k <= {Q.BUILT - len(HEX_BASE)}""",
     "decoded_tokens": "SELECT conv_id, turn, text FROM conversations",
+    "substring_vocabulary": _substring_vocabulary(32),
     "strip_headers": STRIP,
     "clean_text": _clean("documents"),
     "sample_pieces": SAMPLED,

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,31 @@ def read_chunks(spark: SparkSession, paths: str | list[str], separator: str = "\
     return spark.read.option("lineSep", separator).text(paths).select(F.col("value").alias("text"))
 
 
+def read_slices(spark: SparkSession, paths: str | list[str], size: int = 16 << 20) -> DataFrame:
+    """path, start, text: files of any size in slices of about ``size`` bytes, with or without separators.
+
+    Sizes are listed without reading; each slice is read by itself, from the first character that begins in it to the
+    last one, so the slices of a file of valid UTF-8 put together are the file. Other bytes are read as U+FFFD.
+    """
+    files = spark.read.format("binaryFile").load(paths).select("path", "length").where("length > 0")
+    slices = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("start"))
+
+    def cut(data: bytes, at: int) -> int:
+        """The first place from ``at`` on where a character begins; a character has four bytes at most."""
+        return next((k for k in range(at, min(at + 3, len(data))) if data[k] & 0xC0 != 0x80), min(at + 3, len(data)))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, start in zip(batch["path"].to_pylist(), batch["start"].to_pylist(), strict=True):
+                store, name = pafs.FileSystem.from_uri(path)
+                with store.open_input_file(name) as f:
+                    data = f.read_at(size + 3, start)
+                text = data[cut(data, 0) if start else 0 : cut(data, size)].decode(errors="replace")
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([start], pa.int64()), pa.array([text], pa.string())], names=["path", "start", "text"])
+
+    return slices.repartition("path", "start").mapInArrow(read, "path string, start long, text string")
+
+
 def sample(docs: DataFrame, every: int, id_col: str = "doc_id", seed: int = 0) -> DataFrame:
     """A fixed 1-in-``every`` sample by id: the same rows in every pass."""
     return docs.where(F.pmod(F.col(id_col) + F.lit(seed), F.lit(every)) == 0)

@@ -141,3 +141,23 @@ def test_fragments_and_sources(spark, tmp_path):
     r = sources.sample_pieces(spark.createDataFrame([(5, text), (6, "short")], "doc_id long, text string"), 50).collect()
     piece = {x.doc_id: x.piece for x in r}
     assert piece[6] == "short" and piece[5] in text and piece[5].endswith("\n") and piece[5].startswith("line") and 50 <= len(piece[5]) < 70
+
+
+def test_slices_make_up_the_file(spark, tmp_path):
+    rng = random.Random(3)
+    for name in ("a", "b"):
+        (tmp_path / name).write_text("".join(rng.choice("aé語𝄞") for _ in range(rng.randint(900, 1000))), encoding="utf-8")
+    (tmp_path / "c").write_bytes(b"")
+    for size in (7, 64, 100_000):
+        got = {}
+        for r in sorted(sources.read_slices(spark, str(tmp_path), size).collect(), key=lambda r: (r.path, r.start)):
+            got[r.path[-1]] = got.get(r.path[-1], "") + r.text
+        assert got == {name: (tmp_path / name).read_text(encoding="utf-8") for name in "ab"}
+
+
+def test_packed_files(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "x.txt.gz").write_bytes(gzip.compress("é one\ntwo".encode()))
+    assert sources.read_files(spark, str(tmp_path / "x.txt.gz")).first().text == "é one\ntwo"
+    assert [r.text for r in sources.read_chunks(spark, str(tmp_path / "x.txt.gz")).collect()] == ["é one", "two"]
