@@ -1,10 +1,11 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.operators import segment, stats
+from glyphmill.operators import segment, stats, transducer
 from glyphmill.operators.segment import Automaton
 from glyphmill.operators.vocabulary import Vocabulary, pretty_json
 
@@ -127,3 +128,40 @@ def test_tokens_decode_to_their_bytes():
         for _ in range(100):
             data = "".join(rng.choice("the é0fz") for _ in range(rng.randint(0, 30))).encode()
             assert segment.decoded(m.string(i) for i in m.expand(m.ids(data))) == data
+
+
+def test_many_texts_at_once_are_segmented_as_one_by_one(monkeypatch):
+    rng = random.Random(10)
+    flat = lambda m, raws: [i for x in raws for i in (-1, *m.ids(x))]
+    for k in range(200):
+        base = rng.choice([Vocabulary.hex, Vocabulary.bits])
+        letters = rng.choice([b"abcx\xc3", b"ab", b"a", b"a\xff"])
+        v = base(bytes(rng.choice(letters) for _ in range(rng.randint(1, rng.choice([3, 5, 9])))) for _ in range(rng.randint(0, 12)))
+        raws = [bytes(rng.choice(letters + rng.choice([b"", b"z"])) for _ in range(rng.choice([0, 3, 30, 700]))) for _ in range(rng.randint(0, 12))]
+        m, many = Automaton(v), segment.Segmenter(v)
+        assert many.table is not None
+        assert many.ids(raws).tolist() == flat(m, raws) and many.costs(raws).tolist() == [m.cost(x) for x in raws]
+        assert many.tokens([*raws, None]).to_pylist() == [*([m.string(i) for i in m.expand(m.ids(x))] for x in raws), None]
+    # a text that hangs on its first byte to its end, and machines of too many states or without a byte to part texts
+    v, raws = Vocabulary.hex([b"aa", b"aaa"]), [b"a" * 50_001, b"b" + b"a" * 50_000]
+    assert segment.Segmenter(v).ids(raws).tolist() == flat(Automaton(v), raws)
+    every = Vocabulary.hex(bytes([b, 255 - b]) for b in range(256))
+    assert segment.Segmenter(every).table is None and segment.Segmenter(every).ids([b"ab", b""]).tolist() == flat(Automaton(every), [b"ab", b""])
+    monkeypatch.setattr(transducer, "MOST_STATES", 2)
+    assert segment.Segmenter(v).table is None and segment.Segmenter(v).costs([b"aab", b"z"]).tolist() == [2, 3]
+
+
+def test_training_passes_are_fast():
+    """The plain program takes about 1 us a byte; a training query takes a dozen passes over the corpus."""
+    rng = random.Random(11)
+    raws = [" ".join(rng.choice(["the", "nation", "é", "Of", "zebra"]) for _ in range(400)).encode() for _ in range(2000)]
+    v = Vocabulary.hex([b"the", b"tion", b" ", b"e", b"na"])
+    m, many, few = Automaton(v), segment.Segmenter(v), raws[:40]
+
+    def seconds(run, xs):
+        began = time.perf_counter()
+        run(xs)
+        return (time.perf_counter() - began) / sum(map(len, xs))
+
+    plain = min(seconds(lambda xs: [m.ids(x) for x in xs], few) for _ in range(3))
+    assert min(seconds(many.ids, raws) for _ in range(3)) * 4 < plain
