@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from glyphmill.functions.filters import compose
+from glyphmill.operators.transducer import slices
 
 LONGEST = 1000
 
@@ -19,24 +20,59 @@ def _rank(item: tuple[bytes, int]) -> tuple:
     return -item[1], len(item[0]), item[0]
 
 
+class _Extensions:
+    """Counts of the extensions by one byte of strings of one length, over many texts at once."""
+
+    def __init__(self, prefixes: list[bytes]) -> None:
+        self.prefixes, self.length = prefixes, len(prefixes[0]) + 1
+        places: dict[bytes, int] = {}
+        for p in prefixes:
+            for k in range(1, len(p) + 1):
+                places.setdefault(p[:k], len(places) + 1)
+        self.step = np.zeros((len(places) + 1) * 256, np.int32)  # 0: no prefix
+        self.first = np.zeros(256, np.int32)
+        self.second = np.zeros(1 << 16, np.int32)
+        for p, k in places.items():
+            if len(p) == 1:
+                self.first[p[0]] = k
+            else:
+                self.step[places[p[:-1]] << 8 | p[-1]] = k
+            if len(p) == 2:
+                self.second[p[0] << 8 | p[1]] = k
+        self.number = np.zeros(len(places) + 1, np.int64)
+        self.number[[places[p] for p in prefixes]] = np.arange(len(prefixes))
+
+    def count(self, raws: list[bytes]) -> np.ndarray:
+        """A number for each prefix and byte."""
+        data, sizes = np.frombuffer(b"".join(raws), np.uint8), np.array([len(x) for x in raws], np.int64)
+        none = np.zeros(len(self.prefixes) << 8, np.int64)
+        if len(data) < self.length:
+            return none
+        known = min(self.length - 1, 2)
+        at = self.first[data] if known == 1 else self.second[data[:-1].astype(np.uint16) << 8 | data[1:]]
+        place = np.flatnonzero(at[: len(data) - self.length + 1])
+        place = place[place + self.length <= np.repeat(np.cumsum(sizes), sizes)[place]]  # within one text
+        at = at[place]
+        for k in range(known, self.length - 1):
+            at = self.step[at << 8 | data[place + k]]
+            kept = np.flatnonzero(at)
+            place, at = place[kept], at[kept]
+        return np.bincount(self.number[at] << 8 | data[place + self.length - 1], minlength=len(none))
+
+
 def _level(docs: DataFrame, prefixes: set[bytes], n: int) -> list[tuple[bytes, int]]:
     """The n best extensions by one byte of the prefixes. Tasks count, the shuffle adds up; only n rows come back."""
-    length = len(next(iter(prefixes))) + 1 if prefixes else 1
+    known = sorted(prefixes) or [b""]
+    more = _Extensions(known) if prefixes else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen = np.zeros(len(known) << 8, np.int64)
         for batch in batches:
-            for raw in batch["text"].cast(pa.binary()).to_pylist():
-                if raw and length == 1:
-                    counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-                    for b in np.flatnonzero(counts).tolist():
-                        seen[bytes([b])] += int(counts[b])
-                elif raw:
-                    grams = Counter(raw[i : i + length] for i in range(len(raw) - length + 1))
-                    for g, c in grams.items():
-                        if g[:-1] in prefixes:
-                            seen[g] += c
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["gram", "cnt"])
+            for _, raws in slices(batch["text"].drop_null()):
+                seen += more.count(raws) if more else np.bincount(np.frombuffer(b"".join(raws), np.uint8), minlength=256)
+        found = np.flatnonzero(seen)
+        grams = [known[k >> 8] + bytes([k & 255]) for k in found.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.binary()), pa.array(seen[found])], names=["gram", "cnt"])
 
     counted = docs.mapInArrow(run, "gram binary, cnt long").groupBy("gram").agg(F.sum("cnt").alias("cnt"))
     return [(bytes(r["gram"]), r["cnt"]) for r in counted.orderBy(F.desc("cnt"), "gram").limit(n).collect()]
@@ -48,14 +84,21 @@ def top_substrings(docs: DataFrame, n: int, text_col: str = "text", filters: Ite
     A string counts wherever it occurs within a row, overlaps included, if its prefix one shorter is among the
     best so far. A length's own best n suffice, as no other of that length can be among the best of all.
     """
-    text = docs.select(compose(filters)(F.col(text_col)).alias("text")).where("text is not null")
-    best = dict(sorted(_all_bytes(text), key=_rank))
-    for length in range(2, longest + 1):
-        prefixes = {s for s in best if len(s) == length - 1}
-        if not prefixes:
-            break
-        best |= dict(_level(text, prefixes, n))
-        best = dict(sorted(best.items(), key=_rank)[:n])
+    names = tuple(filters)
+    text = docs.select(compose(names)(F.col(text_col)).alias("text"))  # a condition on it would run the filters twice
+    if names:  # filters cost far more than a count, so they run once and not for each length
+        text.persist(StorageLevel.DISK_ONLY)
+    try:
+        best = dict(sorted(_all_bytes(text), key=_rank))
+        for length in range(2, longest + 1):
+            prefixes = {s for s in best if len(s) == length - 1}
+            if not prefixes:
+                break
+            best |= dict(_level(text, prefixes, n))
+            best = dict(sorted(best.items(), key=_rank)[:n])
+    finally:
+        if names:
+            text.unpersist()
     return sorted(best.items(), key=_rank)[:n]
 
 

@@ -1,6 +1,9 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from glyphmill.functions import filters
 from glyphmill.operators import mining, train
 from glyphmill.operators.segment import Automaton
 from glyphmill.operators.vocabulary import Vocabulary, load_json
@@ -174,3 +177,33 @@ def test_select_best(spark):
     candidates = list(train.strategies(df, 6, filter_sets=((), ("caps",))))
     assert len(candidates) == 6 and best["config"] == {"fallback16": False} and len(best["tokens"]) <= 6
     assert set(best["optimizer"]) == {"fallback16", "filters", "type"}
+
+
+def test_filters_run_once_for_all_lengths(spark, monkeypatch):
+    texts = corpus()
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(text):
+        @F.udf("string")
+        def same(x):
+            runs.add(1)
+            return x.upper()
+
+        return same(text)
+
+    monkeypatch.setitem(filters.BY_NAME, "counted", counted)
+    assert mining.top_substrings(df, 40, filters=("counted",)) == plain_top([t.upper() for t in texts], 40)
+    assert runs.value == len(texts)
+
+
+def test_substrings_of_any_bytes():
+    rng = random.Random(12)
+    for _ in range(100):
+        letters = bytes(rng.randrange(256) for _ in range(rng.randint(1, 4)))
+        raws = [bytes(rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 50]))) for _ in range(rng.randint(0, 9))]
+        size = rng.randint(1, 5)
+        prefixes = sorted({bytes(rng.choice(letters) for _ in range(size)) for _ in range(6)})
+        want = Counter(x[i : i + size + 1] for x in raws for i in range(len(x) - size))
+        found = mining._Extensions(prefixes).count(raws)
+        assert {prefixes[k >> 8] + bytes([k & 255]): int(found[k]) for k in found.nonzero()[0].tolist()} == {g: c for g, c in want.items() if g[:-1] in prefixes}
