@@ -2,6 +2,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,15 @@ def test_training_passes_are_fast():
 
     plain = min(seconds(lambda xs: [m.ids(x) for x in xs], few) for _ in range(3))
     assert min(seconds(many.ids, raws) for _ in range(3)) * 4 < plain
+
+
+def test_round_trip_holds_the_tokens_of_a_slice_only(spark):
+    rng = random.Random(14)
+    v = Vocabulary.bits([b"the", b"e", "é".encode()])
+    rows = [(k, k % 3, "".join(rng.choice("the é0fz") for _ in range(rng.randint(0, 200)))) for k in range(50)] + [(50, 0, None), (51, 0, "")]
+    df = spark.createDataFrame(rows, "id long, turn long, text string").repartition(2)
+    assert sorted(map(tuple, segment.round_trip(df, v, ("id", "turn")).collect())) == rows
+    assert sorted(map(tuple, df.select("id", "turn", segment.decode(segment.optimal(F.col("text"), v))).collect())) == rows
+    data = pa.array(["z" * 1000] * 2000)
+    most = max(len(segment.Segmenter(v).tokens(raws).values) for _, raws in transducer.slices(data, segment.WRITTEN))
+    assert most <= 8 * segment.WRITTEN < 8 * 1000 * 2000
