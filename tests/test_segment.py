@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from glyphmill.operators import segment, stats, transducer
 from glyphmill.operators.segment import Automaton
 from glyphmill.operators.vocabulary import Vocabulary, pretty_json
+from glyphmill.plans import queries as Q
 
 SPACE, Z, V = ["\x10", "2", "0"], ["\x10", "7", "a"], ["\x10", "7", "6"]
 GOLDEN = [  # method, text, entries beyond the hex base, tokens
@@ -168,6 +169,22 @@ def test_training_passes_are_fast():
     assert min(seconds(many.ids, raws) for _ in range(3)) * 4 < plain
 
 
+def test_written_tokens(spark):
+    """As the column functions give them, by a scan whose Python batches stay small however long the tokens are."""
+    rng = random.Random(13)
+    v = Vocabulary.bits([b" ", b"e", "é".encode(), b"the", b"th", b"er", b".", b"xyz"])
+    rows = [(k, "".join(rng.choice("the ré.xyz\n\0") for _ in range(rng.choice([0, 1, 400])))) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for longest, method in ((True, segment.greedy), (False, segment.by_bytes)):
+        want = {r["doc_id"]: [t.encode("latin-1").hex().upper() for t in r["t"]] for r in df.select("doc_id", method(F.col("text"), v).alias("t")).collect()}
+        found = segment.written(df, v, longest)
+        assert found.dtypes == [("doc_id", "bigint"), ("n_tokens", "bigint"), ("tokens", "string")]
+        assert {r["doc_id"]: (r["n_tokens"], r["tokens"]) for r in found.collect()} == {k: (len(t), " ".join(t)) for k, t in want.items()}
+    assert segment.written(spark.createDataFrame([(1, None)], "doc_id long, text string"), v, True).collect()[0][:] == (1, 0, "")
+    plans = [Q.QUERIES[n](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString() for n in ("tokenize_greedy", "tokenize_bytes_hex", "tokenize_bytes_bits")]
+    assert all("regexp_extract_all" not in p for p in plans)
+
+
 def test_round_trip_holds_the_tokens_of_a_slice_only(spark):
     rng = random.Random(14)
     v = Vocabulary.bits([b"the", b"e", "é".encode()])
