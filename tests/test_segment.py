@@ -216,3 +216,23 @@ def test_tokens_and_pairs_are_counted_where_they_end(monkeypatch):
         assert {i: c for i, c in enumerate(many.counts(raws).tolist()) if c} == seen
         found = many.pairs(raws)
         assert found.shape == (n, n + 1) and {(int(i), int(j)): int(found[i, j]) for i, j in zip(*found.nonzero())} == pairs
+
+
+def test_bytes_are_written_all_at_once():
+    rng = random.Random(16)
+    for v in (Vocabulary.bits([b"e", b" "]), Vocabulary.hex([b"e", b" ", b"\xc3"])):
+        spelled = [" ".join(s.hex().upper() for s in ([bytes([b])] if bytes([b]) in v else v.fallback_of(b))) for b in range(256)].__getitem__
+        plain = lambda raws: [" ".join(map(spelled, x)) for x in raws]  # noqa: E731, B023
+        write = segment._bytes_written(v)
+        for _ in range(50):
+            raws = [rng.randbytes(rng.choice([0, 0, 1, 40])) for _ in range(rng.randint(0, 9))]
+            n, tokens = write(raws)
+            assert tokens.to_pylist() == plain(raws) and n.to_pylist() == [len(t.split()) for t in plain(raws)]
+        raws = [rng.randbytes(20_000) for _ in range(10)]
+
+        def seconds(run, xs=raws):
+            began = time.perf_counter()
+            run(xs)
+            return time.perf_counter() - began
+
+        assert min(seconds(write) for _ in range(7)) < min(seconds(plain) for _ in range(7))
