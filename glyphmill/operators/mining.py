@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,7 @@ from glyphmill.functions.filters import compose
 from glyphmill.operators.transducer import slices
 
 LONGEST = 1000
+BLOCK = 1 << 17  # places counted at once
 
 
 def _rank(item: tuple[bytes, int]) -> tuple:
@@ -29,9 +30,10 @@ class _Extensions:
         for p in prefixes:
             for k in range(1, len(p) + 1):
                 places.setdefault(p[:k], len(places) + 1)
-        self.step = np.zeros((len(places) + 1) * 256, np.int32)  # 0: no prefix
-        self.first = np.zeros(256, np.int32)
-        self.second = np.zeros(1 << 16, np.int32)
+        kind = np.min_scalar_type(len(places))
+        self.step = np.zeros((len(places) + 1) * 256, kind)  # 0: no prefix
+        self.first = np.zeros(256, kind)
+        self.second = np.zeros(1 << 16, kind)
         for p, k in places.items():
             if len(p) == 1:
                 self.first[p[0]] = k
@@ -49,33 +51,70 @@ class _Extensions:
         if len(data) < self.length:
             return none
         known = min(self.length - 1, 2)
-        at = self.first[data] if known == 1 else self.second[data[:-1].astype(np.uint16) << 8 | data[1:]]
-        place = np.flatnonzero(at[: len(data) - self.length + 1])
-        place = place[place + self.length <= np.repeat(np.cumsum(sizes), sizes)[place]]  # within one text
+        at = self.first[data] if known == 1 else np.append(np.take(self.second, _bigrams(data), mode="clip"), self.second.dtype.type(0))
+        # places too near to the end of their text
+        near = np.minimum(sizes, self.length - 1)
+        after = np.cumsum(near)
+        at[np.repeat(np.cumsum(sizes) - after, near) + np.arange(after[-1])] = 0
+        place = np.flatnonzero(at != 0)
         at = at[place]
         for k in range(known, self.length - 1):
-            at = self.step[at << 8 | data[place + k]]
+            at = self.step[at.astype(np.intp) << 8 | data[place + k]]
             kept = np.flatnonzero(at)
             place, at = place[kept], at[kept]
         return np.bincount(self.number[at] << 8 | data[place + self.length - 1], minlength=len(none))
 
 
-def _level(docs: DataFrame, prefixes: set[bytes], n: int) -> list[tuple[bytes, int]]:
-    """The n best extensions by one byte of the prefixes. Tasks count, the shuffle adds up; only n rows come back."""
-    known = sorted(prefixes) or [b""]
-    more = _Extensions(known) if prefixes else None
+def _bigrams(data: np.ndarray) -> np.ndarray:
+    """Two bytes as a number, at each byte but the last."""
+    return data[:-1].astype(np.uint16) << 8 | data[1:]
+
+
+def _short(raws: list[bytes]) -> np.ndarray:
+    """The number of each byte, then of each two bytes within a text."""
+    data, ends = np.frombuffer(b"".join(raws), np.uint8), np.unique(np.cumsum([0, *map(len, raws)]))
+    two, one = np.zeros(1 << 16, np.int64), np.zeros(256, np.int64)
+    if len(data):
+        both = _bigrams(data)
+        for k in range(0, len(both), BLOCK):
+            two += np.bincount(both[k : k + BLOCK], minlength=len(two))
+        one += two.reshape(256, 256).sum(axis=1)
+        one[data[-1]] += 1
+        two -= np.bincount(both[ends[1:-1] - 1], minlength=len(two))  # across texts
+    return np.concatenate([one, two])
+
+
+def _counted(text: DataFrame, count: Callable[[list[bytes]], np.ndarray], grams: Callable[[list[int]], list[bytes]]) -> DataFrame:
+    """gram, cnt of strings numbered as in ``count``. Tasks count, the shuffle adds up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(len(known) << 8, np.int64)
+        seen = count([])
         for batch in batches:
             for _, raws in slices(batch["text"].drop_null()):
-                seen += more.count(raws) if more else np.bincount(np.frombuffer(b"".join(raws), np.uint8), minlength=256)
+                seen += count(raws)
         found = np.flatnonzero(seen)
-        grams = [known[k >> 8] + bytes([k & 255]) for k in found.tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.binary()), pa.array(seen[found])], names=["gram", "cnt"])
+        yield pa.RecordBatch.from_arrays([pa.array(grams(found.tolist()), pa.binary()), pa.array(seen[found])], names=["gram", "cnt"])
+
+    return text.mapInArrow(run, "gram binary, cnt long").groupBy("gram").agg(F.sum("cnt").alias("cnt"))
+
 
-    counted = docs.mapInArrow(run, "gram binary, cnt long").groupBy("gram").agg(F.sum("cnt").alias("cnt"))
-    return [(bytes(r["gram"]), r["cnt"]) for r in counted.orderBy(F.desc("cnt"), "gram").limit(n).collect()]
+def _rows(counted: DataFrame, order: list, n: int) -> list[tuple[bytes, int]]:
+    return [(bytes(r["gram"]), r["cnt"]) for r in counted.orderBy(*order).limit(n).collect()]
+
+
+def _level(docs: DataFrame, prefixes: set[bytes], n: int) -> list[tuple[bytes, int]]:
+    """The n best extensions by one byte of the prefixes; only these come back."""
+    known = sorted(prefixes)
+    counted = _counted(docs, _Extensions(known).count, lambda found: [known[k >> 8] + bytes([k & 255]) for k in found])
+    return _rows(counted, [F.desc("cnt"), "gram"], n)
+
+
+def _first_levels(docs: DataFrame, n: int) -> tuple[list[tuple[bytes, int]], list[tuple[bytes, int]]]:
+    """All bytes, and the n best of two bytes, in one pass."""
+    counted = _counted(docs, _short, lambda found: [bytes([k]) if k < 256 else (k - 256).to_bytes(2) for k in found])
+    rows = _rows(counted, [F.octet_length("gram"), F.desc("cnt"), "gram"], 256 + n)
+    one = [r for r in rows if len(r[0]) == 1]
+    return one, rows[len(one) : len(one) + n]
 
 
 def top_substrings(docs: DataFrame, n: int, text_col: str = "text", filters: Iterable[str] = (), longest: int = LONGEST) -> list[tuple[bytes, int]]:
@@ -89,8 +128,9 @@ def top_substrings(docs: DataFrame, n: int, text_col: str = "text", filters: Ite
     if names:  # filters cost far more than a count, so they run once and not for each length
         text.persist(StorageLevel.DISK_ONLY)
     try:
-        best = dict(sorted(_all_bytes(text), key=_rank))
-        for length in range(2, longest + 1):
+        one, two = _first_levels(text, n)
+        best = dict(sorted(one + (two if longest > 1 else []), key=_rank)[:n])
+        for length in range(3, longest + 1):
             prefixes = {s for s in best if len(s) == length - 1}
             if not prefixes:
                 break
@@ -100,7 +140,3 @@ def top_substrings(docs: DataFrame, n: int, text_col: str = "text", filters: Ite
         if names:
             text.unpersist()
     return sorted(best.items(), key=_rank)[:n]
-
-
-def _all_bytes(text: DataFrame) -> list[tuple[bytes, int]]:
-    return _level(text, set(), 256)

@@ -207,3 +207,17 @@ def test_substrings_of_any_bytes():
         want = Counter(x[i : i + size + 1] for x in raws for i in range(len(x) - size))
         found = mining._Extensions(prefixes).count(raws)
         assert {prefixes[k >> 8] + bytes([k & 255]): int(found[k]) for k in found.nonzero()[0].tolist()} == {g: c for g, c in want.items() if g[:-1] in prefixes}
+
+
+def test_bytes_and_pairs_are_counted_in_one_pass(spark, monkeypatch):
+    rng = random.Random(17)
+    for _ in range(100):
+        raws = [bytes(rng.choice(b"\0ab\xff") for _ in range(rng.choice([0, 1, 2, 50]))) for _ in range(rng.randint(0, 9))]
+        want = Counter(x[i : i + n] for x in raws for n in (1, 2) for i in range(len(x) - n + 1))
+        found = mining._short(raws).tolist()
+        assert {bytes([k]) if k < 256 else divmod(k - 256, 256): c for k, c in enumerate(found) if c} == {g if len(g) == 1 else tuple(g): c for g, c in want.items()}
+    monkeypatch.setattr(mining, "_level", None)  # longer ones only
+    texts = corpus()
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    want = Counter(d[i : i + n] for d in (t.encode() for t in texts) for n in (1, 2) for i in range(len(d) - n + 1))
+    assert mining.top_substrings(df, 40, longest=2) == sorted(want.items(), key=lambda kv: (-kv[1], len(kv[0]), kv[0]))[:40]
