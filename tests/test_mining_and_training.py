@@ -221,3 +221,44 @@ def test_bytes_and_pairs_are_counted_in_one_pass(spark, monkeypatch):
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
     want = Counter(d[i : i + n] for d in (t.encode() for t in texts) for n in (1, 2) for i in range(len(d) - n + 1))
     assert mining.top_substrings(df, 40, longest=2) == sorted(want.items(), key=lambda kv: (-kv[1], len(kv[0]), kv[0]))[:40]
+
+
+def test_removals_are_counted_around_the_string_in_one_pass(spark):
+    rng = random.Random(3)
+    texts = [*corpus(), *("".join(rng.choice("theorn ,xyz\n") for _ in range(rng.randint(0, 90))) for _ in range(40)), "the", "x"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string").repartition(3)
+    every = bytes(range(256))  # no byte parts such texts
+    for strings in ([b"the", b"en", b"n", b" ", b"other", b"on", b"x", b"\n", b"tt", b"zz"], [b"the", b"he", b"o", every]):
+        start = Vocabulary.hex(strings)
+        removed = [b"the", b"x", b" ", b"en", b"n"] if every not in strings else [b"he", b"the", b"o"]
+        counts, left = Plain(texts, start).expanded(), start
+        for s, change in zip(removed, train.changer(df)(start, removed), strict=True):
+            left = left.without(s)
+            counts = {t: n + change.get(t, 0) for t, n in counts.items()}
+            assert counts == {s: 0 for s in removed} | dict.fromkeys((t.string for t in start), 0) | Plain(texts, left).expanded()
+    start, passes = Vocabulary.hex([b"the", b"en", b"n", b" ", b"other", b"on", b"x", b"\n", b"qq"]), []
+
+    def counted(evaluate):
+        return lambda *args: passes.append(args) or evaluate(*args)
+
+    names = lambda v: [t.string for t in v]
+    near = counted(lambda v, pairs: Plain(texts, v))
+    for n in range(17, 27):
+        want = plain_prune(texts, names(start), set(names(Vocabulary.hex())), n, False)
+        passes.clear()
+        assert names(train.prune_rarest(near, start, n)) == want
+        assert len(passes) == 1 + max(0, 24 - n)  # the first counts serve until a token that is used goes, the last are not needed
+        passes.clear()
+        assert names(train.prune_rarest(near, start, n, counted(train.changer(df)))) == want
+        assert len(passes) <= 1 + max(0, 24 - n)
+
+
+def test_prune_simple_takes_two_passes(spark, monkeypatch):
+    from glyphmill.operators import segment, stats
+    from glyphmill.plans import queries
+
+    passes = []
+    for where, name in ((stats, "optimal_counts"), (train, "optimal_changes")):
+        monkeypatch.setattr(where, name, lambda *args, name=name: passes.append(name) or getattr(segment, name)(*args))
+    assert queries.prune_simple(spark, "/root/testdata/sf0.001").count() == len(queries.HEX) - 6
+    assert passes == ["optimal_counts", "optimal_changes"]
